@@ -49,11 +49,8 @@ def parse_list(text: Column) -> Column:
     # the rows that do not need it.
     rest = _parse_rest(F.when(~empty & ~simple, trimmed))
     none = F.array().cast("array<string>")
-    return (
-        F.when(empty, none)
-        .when(simple, drop_blank(items))
-        .otherwise(F.coalesce(rest, none))
-    )
+    parsed = F.when(simple, drop_blank(items)).when(~empty, rest)
+    return F.coalesce(parsed, none)
 
 
 def drop_blank(items: Column) -> Column:

@@ -17,12 +17,14 @@ from ..schemas import (
 
 def fault_of(raw: DataFrame):
     """First value that holds something but cannot be stored: ``bad_int:<column>`` or ``bad_status``."""
-    present = [c for c in INTEGER_COLUMNS if c in raw.columns]
-    faults = [F.when(X.is_bad_int(F.col(c)), F.lit(f"bad_int:{c}")) for c in present]
+    fault = F.when(F.lit(False), F.lit(""))
+    for c in INTEGER_COLUMNS:
+        if c in raw.columns:
+            fault = fault.when(X.is_bad_int(F.col(c)), F.lit(f"bad_int:{c}"))
     if "status" in raw.columns:
         status = X.clean_status(X.clean_text(F.col("status")))
-        faults.append(F.when(~status.isin(*STATUS_DOMAIN), F.lit("bad_status")))
-    return F.coalesce(*faults, F.lit(None).cast("string"))
+        fault = fault.when(~status.isin(*STATUS_DOMAIN), F.lit("bad_status"))
+    return fault
 
 
 def clean_works(raw: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 def plan_bytes(frame: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def fits_broadcast(frame: DataFrame) -> bool:

@@ -16,7 +16,7 @@ from ..operators.normalize import (
     with_identity,
 )
 from ..operators.quality import check_catalogue
-from ..operators.validate import error_records, with_error
+from ..operators.validate import error_records, judge, valid_rows
 from ..schemas import CORE_COLUMNS, TAG_KINDS
 from ..session import staged
 from ..sources.catalogue import current_snapshot, publish, read_part, write_part
@@ -53,12 +53,11 @@ def load_frame(
     outputs read column by column. Nothing becomes visible before every part is
     written and checked.
     """
-    judged = staged(with_error(with_identity(clean_works(raw))), "cleaned")
+    judged = judge(with_identity(clean_works(raw)))
     rejected = error_records(number_rows(judged))
     write_invalid(rejected, invalid_path or f"{root.rstrip('/')}/invalid")
 
-    valid = judged.where(F.col("error").isNull())
-    normal = normalize_works(valid, list(ORIGIN_COLUMNS))
+    normal = normalize_works(valid_rows(judged), list(ORIGIN_COLUMNS))
     unique = staged(normal.works.select(*CORE_COLUMNS, *TAG_KINDS), "unique")
 
     snapshot = current_snapshot(spark, root)

@@ -14,7 +14,7 @@ from ..operators.normalize import (
     normalize_works,
     with_identity,
 )
-from ..operators.validate import split_valid, with_error
+from ..operators.validate import judge, split_valid, valid_rows, with_error
 from ..schemas import CORE_COLUMNS, TAG_KINDS
 from .inputs import CLEAN_WORKS_SQL, raw_works, table
 
@@ -95,13 +95,13 @@ def validity_split(spark, sf_dir):
     return split_valid(numbered)[1]
 
 
-def valid_rows(spark, sf_dir):
+def error_counts(spark, sf_dir):
     judged = with_error(_cleaned(spark, sf_dir))
     return judged.groupBy("error").agg(F.count("*").alias("n"))
 
 
 def normalized_core(spark, sf_dir):
-    valid = with_error(_cleaned(spark, sf_dir)).where("error is null")
+    valid = valid_rows(judge(_cleaned(spark, sf_dir)))
     return normalize_works(valid, ["o_orderkey"]).core
 
 
@@ -112,7 +112,7 @@ def core_rows(spark, sf_dir):
 
 
 def duplicate_works(spark, sf_dir):
-    valid = with_error(_cleaned(spark, sf_dir)).where("error is null")
+    valid, _ = split_valid(_cleaned(spark, sf_dir).withColumn("row_number", F.col("o_orderkey")))
     return count_duplicates(valid, "fic_id")
 
 
@@ -134,7 +134,7 @@ QUERIES = {
     "plan_listing": plan_listing,
     "clean_works": clean_whole_works,
     "validity_split": validity_split,
-    "error_counts": valid_rows,
+    "error_counts": error_counts,
     "normalize_works": normalized_core,
     "core_projection": core_rows,
     "duplicates_removed": duplicate_works,

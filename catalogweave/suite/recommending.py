@@ -50,10 +50,14 @@ def cosine_topk_all(spark, sf_dir):
     return found.select("query_id", "place", "fic_id", F.round("sim", 6).alias("sim"))
 
 
-def cosine_to_one(spark, sf_dir):
+def _similarity_to_one(spark, sf_dir):
     store = vectors(spark, sf_dir)
     query = F.array(*[F.lit(x) for x in get_embedding(store, QUERY_ID)])
-    return store.select("fic_id", F.round(cosine_similarity(F.col("embedding"), query), 6).alias("sim"))
+    return store.select("fic_id", cosine_similarity(F.col("embedding"), query).alias("sim"))
+
+
+def cosine_to_one(spark, sf_dir):
+    return _similarity_to_one(spark, sf_dir).select("fic_id", F.round("sim", 6).alias("sim"))
 
 
 def cosine_pairs_above(spark, sf_dir):
@@ -115,7 +119,7 @@ def embedding_prefix(spark, sf_dir):
 
 
 def score_text(spark, sf_dir):
-    return cosine_to_one(spark, sf_dir).select("fic_id", format_score(F.col("sim")).alias("text"))
+    return _similarity_to_one(spark, sf_dir).select("fic_id", format_score(F.col("sim")).alias("text"))
 
 
 QUERIES = {
@@ -212,6 +216,6 @@ ORACLES = {
         FROM embeddings LEFT JOIN item ON item.id = vec_id""",
     "embedding_lookup": """SELECT vec_id AS fic_id, array_to_string(
         list_transform(embedding[1:5], lambda x: printf('%.4f', x::DOUBLE)), ' ') AS prefix FROM embeddings""",
-    "format_score": f"""SELECT c.vec_id AS fic_id, printf('%.4f', round({_SIM}, 6)) AS text
+    "format_score": f"""SELECT c.vec_id AS fic_id, printf('%.4f', {_SIM}) AS text
         FROM embeddings c, embeddings q WHERE q.vec_id = {QUERY_ID}""",
 }
