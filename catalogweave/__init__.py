@@ -1 +1,9 @@
 """Catalogue ingest and recommendation, written as Spark DataFrame operations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need
+# no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

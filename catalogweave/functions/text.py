@@ -3,16 +3,21 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters that count as white space in raw text. It is the
-# Unicode set plus the four ASCII separators U+001C to U+001F.
+# The characters that count as white space in raw text, as a regular
+# expression class and one by one. It is the Unicode set plus U+001C to U+001F.
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 
 DATE_FORMATS = ("yyyy-MM-dd", "dd MMM yyyy", "MM/dd/yyyy")
 
 
 def trim_spaces(text: Column) -> Column:
     """Strip leading and trailing Unicode white space."""
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def blank_to_null(text: Column) -> Column:

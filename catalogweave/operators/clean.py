@@ -13,6 +13,7 @@ from ..schemas import (
     TEXT_COLUMNS,
     ZERO_DEFAULT_COLUMNS,
 )
+from ..session import spread
 
 
 def fault_of(raw: DataFrame):
@@ -49,7 +50,7 @@ def clean_works(raw: DataFrame) -> DataFrame:
         if column in ZERO_DEFAULT_COLUMNS:
             value = F.coalesce(value, F.lit(0))
         cleaned.append(value.alias(column))
-    return raw.select(*cleaned, fault_of(raw).alias("fault"))
+    return spread(raw).select(*cleaned, fault_of(raw).alias("fault"))
 
 
 def with_missing_columns(frame: DataFrame) -> DataFrame:

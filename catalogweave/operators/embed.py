@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 class HashedTokenEncoder:
     """Deterministic stand-in for a sentence encoder: signed token hashes, L2-normalised."""
@@ -56,4 +58,4 @@ def embed_texts(
     present = texts.where(F.col(text_column).isNotNull()).select(
         F.col(id_column).cast("bigint").alias("fic_id"), F.col(text_column).alias("text")
     )
-    return present.mapInArrow(encode, "fic_id bigint, embedding array<float>")
+    return spread(present).mapInArrow(encode, "fic_id bigint, embedding array<float>")

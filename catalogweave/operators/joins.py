@@ -4,14 +4,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def plan_bytes(frame: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+# Plan nodes whose output may be larger than Catalyst's estimate for them.
+GROWING_NODES = ("Generate ", "MapInPandas", "MapInArrow", "FlatMapGroups")
 
 
 def fits_broadcast(frame: DataFrame) -> bool:
-    limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return 0 <= plan_bytes(frame) <= limit
+    """True when the frame is known to stay within Spark's broadcast limit.
+
+    Catalyst's estimate bounds scans, filters, projections, aggregates and joins
+    from above. It says nothing about nodes that can multiply rows, so a plan
+    with one of those never counts as small.
+    """
+    spark = frame.sparkSession
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.treeString() for node in GROWING_NODES):
+        return False
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= int(plan.stats().sizeInBytes()) <= limit
 
 
 def absent_rows(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,10 +36,10 @@ def absent_rows(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hot_keys(facts: DataFrame, keys: list[str], partitions: int) -> DataFrame:
-    """Keys holding more than 1/(4 x partitions) of all rows: at most 4 x partitions of them."""
-    share = F.count("*") * F.lit(4 * partitions)
-    total = facts.agg(F.count("*").alias("total")).scalar()
-    return facts.groupBy(*keys).agg(share.alias("share")).where(F.col("share") > total).select(*keys)
+    """Keys holding more than 1/(4 x partitions) of all rows: fewer than 4 x partitions of them."""
+    counts = facts.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.where(F.col("n") * F.lit(4 * partitions) > total).select(*keys)
 
 
 def lookup_join(
@@ -41,19 +50,23 @@ def lookup_join(
     A lookup table within Spark's broadcast limit is broadcast. A larger one is
     joined by shuffle, with the hot keys spread over ``partitions`` salts: their
     few lookup rows are repeated per salt, their many facts are divided among
-    the salts. The set of hot keys is bounded by construction, see ``hot_keys``.
+    the salts. The hot keys are few by construction, see ``hot_keys``, so they
+    are fetched and used as a literal table; without any the join is plain.
     """
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), keys)
     spark = facts.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(facts, keys, partitions).withColumn("is_hot", F.lit(True)))
+    found = hot_keys(facts, keys, partitions)
+    rows = found.collect()
+    if not rows:
+        return facts.join(lookup, keys)
+    hot = F.broadcast(spark.createDataFrame(rows, found.schema).withColumn("is_hot", F.lit(True)))
     is_hot = F.coalesce(F.col("is_hot"), F.lit(False))
-    one = F.array(F.lit(0))
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(partitions)).cast("int")
     left = facts.join(hot, keys, "left").select(
         *facts.columns, F.when(is_hot, salt).otherwise(F.lit(0)).alias("salt")
     )
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(partitions - 1))).otherwise(one)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(partitions - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, keys, "left").select(*lookup.columns, F.explode(salts).alias("salt"))
     return left.join(right, [*keys, "salt"]).drop("salt")

@@ -47,7 +47,7 @@ def explode_tags(works: DataFrame, kinds=TAG_KINDS) -> DataFrame:
     """(fic_id, kind, value) for every list item of every kind, in one pass."""
     tagged = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("items")) for k in kinds]
     lists = works.select("fic_id", F.inline(F.array(*tagged)))
-    return lists.select("fic_id", "kind", F.explode("items").alias("value"))
+    return lists.select("fic_id", "kind", F.explode(F.array_distinct("items")).alias("value"))
 
 
 def flatten_values(frame: DataFrame, column: str) -> DataFrame:
@@ -82,10 +82,14 @@ def assign_ids(values: DataFrame, existing: DataFrame | None = None) -> DataFram
 
 
 def encode_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(fic_id, kind, value) to distinct (fic_id, kind, id)."""
-    distinct = tags.select("fic_id", "kind", "value").distinct()
-    encoded = lookup_join(distinct, dictionary.select("kind", "value", "id"), ["kind", "value"])
-    return encoded.select("fic_id", "kind", "id")
+    """(fic_id, kind, value) to distinct (fic_id, kind, id).
+
+    Values are encoded first and made distinct afterwards, so the second shuffle
+    moves numbers instead of texts.
+    """
+    values = tags.select("fic_id", "kind", "value")
+    encoded = lookup_join(values, dictionary.select("kind", "value", "id"), ["kind", "value"])
+    return encoded.select("fic_id", "kind", "id").distinct()
 
 
 def unknown_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -67,29 +67,31 @@ def load_frame(
     )
 
     tags = explode_tags(unique)
-    entries = write_part(assign_ids(tags, old["dictionary"]), root, "dictionary")
+    vocabulary = staged(tags.select("kind", "value").distinct(), "vocabulary")
+    entries = write_part(assign_ids(vocabulary, old["dictionary"]), root, "dictionary")
     parts = dict(snapshot["parts"], core=[core])
     parts["dictionary"] = snapshot["parts"]["dictionary"] + [entries]
     new = {"version": snapshot["version"], "parts": parts}
     dictionary = read_part(spark, new, "dictionary")
 
-    pairs = write_part(new_pairs(old["pairs"], encode_tags(tags, dictionary)), root, "pairs")
+    encoded = staged(encode_tags(tags, dictionary), "pairs")
+    pairs = write_part(new_pairs(old["pairs"], encoded), root, "pairs")
     parts["pairs"] = snapshot["parts"]["pairs"] + [pairs]
 
     report = load_report(spark, judged, normal.duplicates, unique, new)
-    failed = check_load(spark, new, tags)
+    failed = check_load(spark, new, vocabulary)
     if failed:
         raise LoadRejected("; ".join(f"{r['check']} on {r['table']}: {r['violations']}" for r in failed))
     publish(spark, root, snapshot, parts)
     return report
 
 
-def check_load(spark: SparkSession, snapshot: dict, tags: DataFrame | None = None) -> list:
+def check_load(spark: SparkSession, snapshot: dict, vocabulary: DataFrame | None = None) -> list:
     """Broken checks of a snapshot: a bounded list of (check, table, violations)."""
     core, dictionary, pairs = (read_part(spark, snapshot, n) for n in ("core", "dictionary", "pairs"))
     checks = check_catalogue(core, dictionary, pairs)
-    if tags is not None:
-        lost = unknown_tags(tags, dictionary).agg(F.count("*").alias("violations"))
+    if vocabulary is not None:
+        lost = unknown_tags(vocabulary, dictionary).agg(F.count("*").alias("violations"))
         checks = checks.unionByName(
             lost.select(F.lit("tag_known").alias("check"), F.lit("dictionary").alias("table"), "violations")
         )

@@ -41,7 +41,7 @@ def recommend(
         rows = found.collect()
         found = store.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA)
         ids = [fic_id] + [r["fic_id"] for r in rows]
-        tags = tags.where(F.col("fic_id").isin(*ids))
+        tags = pin(tags.where(F.col("fic_id").isin(*ids)))
         popular = core.where(F.col("fic_id").isin(*ids))
     else:
         found, popular = pin(found), core

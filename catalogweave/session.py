@@ -6,6 +6,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD_BYTES_PER_CORE = 32 << 20
+
+
 def build_session(app_name="catalogweave", master=None, **conf):
     """A session with the settings the operators assume (ANSI, UTC, adaptive execution)."""
     builder = SparkSession.builder.appName(app_name)
@@ -18,6 +21,7 @@ def build_session(app_name="catalogweave", master=None, **conf):
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -66,3 +70,15 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before work that is heavy per row.
+
+    A large input already has more splits than there are cores and is left
+    alone, so at scale this never adds a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return frame.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else frame

@@ -6,14 +6,14 @@ from ..functions.text import vector_prefix
 from ..operators.embed import HashedTokenEncoder, embed_texts
 from ..operators.normalize import assign_ids, build_vocabulary, encode_tags, lookup_and_pairs
 from ..plans.embed import embed_works
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources.embeddings import as_store, read_embeddings, write_embeddings
 from .inputs import part_words, table, vectors
 
 
 def document_tokens(spark, sf_dir):
     """(fic_id, kind, value): the tokens of each document, its language as the kind."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     tokens = F.explode(F.split(F.trim("text"), r"\s+"))
     return documents.select(F.col("doc_id").alias("fic_id"), F.col("lang").alias("kind"), tokens.alias("value"))
 
