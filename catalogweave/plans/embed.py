@@ -32,12 +32,11 @@ def embed_catalogue(
 ) -> None:
     """Embed the published works into the store at ``store_path``.
 
-    The encoder runs once: its output is staged before it is checked and written,
-    which also lets an upsert overwrite the store it reads from.
+    The encoder runs once: its output is staged before it is checked and written.
     """
     fresh = staged(embed_works(read_table(spark, root, "fics"), make_encoder, model_name), "vectors")
     if replace:
         write_embeddings(replace_embeddings(fresh), store_path)
     else:
         merged = upsert_embeddings(read_embeddings(spark, store_path), fresh)
-        write_embeddings(staged(merged, "merged"), store_path)
+        write_embeddings(merged, store_path)

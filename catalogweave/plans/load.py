@@ -19,7 +19,8 @@ from ..operators.quality import check_catalogue
 from ..operators.validate import error_records, judge, valid_rows
 from ..schemas import CORE_COLUMNS, TAG_KINDS
 from ..session import staged
-from ..sources.catalogue import current_snapshot, publish, read_part, write_part
+from ..sources.catalogue import read_part, write_part
+from ..sources.manifest import current_snapshot, publish
 from ..sources.raw import ORIGIN_COLUMNS, number_rows, read_raw_works, write_invalid
 
 
@@ -70,13 +71,13 @@ def load_frame(
     vocabulary = staged(tags.select("kind", "value").distinct(), "vocabulary")
     entries = write_part(assign_ids(vocabulary, old["dictionary"]), root, "dictionary")
     parts = dict(snapshot["parts"], core=[core])
-    parts["dictionary"] = snapshot["parts"]["dictionary"] + [entries]
+    parts["dictionary"] = snapshot["parts"].get("dictionary", []) + [entries]
     new = {"version": snapshot["version"], "parts": parts}
     dictionary = read_part(spark, new, "dictionary")
 
     encoded = staged(encode_tags(tags, dictionary), "pairs")
     pairs = write_part(new_pairs(old["pairs"], encoded), root, "pairs")
-    parts["pairs"] = snapshot["parts"]["pairs"] + [pairs]
+    parts["pairs"] = snapshot["parts"].get("pairs", []) + [pairs]
 
     report = load_report(spark, judged, normal.duplicates, unique, new)
     failed = check_load(spark, new, vocabulary)

@@ -38,9 +38,9 @@ def recommend(
     if retrieval_size <= LITERAL_CANDIDATES:
         # A bounded handful of ids: as literals they reach the scans of core and
         # tags as pushed-down IN filters.
-        rows = found.collect()
+        rows = found.toArrow()
         found = store.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA)
-        ids = [fic_id] + [r["fic_id"] for r in rows]
+        ids = [fic_id, *rows.column("fic_id").to_pylist()]
         tags = pin(tags.where(F.col("fic_id").isin(*ids)))
         popular = core.where(F.col("fic_id").isin(*ids))
     else:

@@ -1,43 +1,22 @@
-"""The published catalogue: immutable table parts plus an append-only manifest.
+"""The published catalogue: a core table, six dictionaries and six pair tables.
 
-A load writes new table parts first and then appends one manifest line that
-names all parts of the new snapshot. Readers take the newest line, so they see
-either the old catalogue or the new one. Dictionaries and pairs only ever grow:
-a new snapshot reuses their existing parts and adds one more.
+Physically there are three tables of immutable parts named by a manifest.
+Dictionaries and pairs only ever grow: a new snapshot reuses their parts and adds
+one more, so a load never rewrites what is already stored.
 """
 
-import json
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CORE_SCHEMA, CORE_TABLE, DICTIONARY_SCHEMA, PAIR_SCHEMA, TAG_TABLES
+from .manifest import current_snapshot, new_folder, publish, read_parts
 
 _SCHEMAS = {"core": CORE_SCHEMA, "dictionary": DICTIONARY_SCHEMA, "pairs": PAIR_SCHEMA}
 
 
-def current_snapshot(spark: SparkSession, root: str) -> dict:
-    """Newest manifest entry: version and the part folders of each table."""
-    try:
-        lines = spark.read.schema("version BIGINT, parts STRING").json(f"{root}/manifest")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return {"version": 0, "parts": {name: [] for name in _SCHEMAS}}
-    newest = lines.orderBy(F.desc("version")).first()
-    return {"version": newest["version"], "parts": json.loads(newest["parts"])}
-
-
 def read_part(spark: SparkSession, snapshot: dict, name: str) -> DataFrame:
     """One physical table (core, dictionary or pairs) of a snapshot."""
-    schema, folders = _SCHEMAS[name], snapshot["parts"][name]
-    if not folders:
-        return spark.createDataFrame([], schema)
-    base = folders[0].rsplit("/", 1)[0]
-    parts = spark.read.option("basePath", base).schema(schema).parquet(*folders)
-    return parts.select(*schema.fieldNames())
+    return read_parts(spark, snapshot["parts"].get(name, []), _SCHEMAS[name])
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -61,7 +40,7 @@ def read_dictionary(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
 def write_part(frame: DataFrame, root: str, name: str) -> str:
     """Write one new part of a table under a fresh folder and return the folder."""
-    folder = f"{root.rstrip('/')}/{name}/part=p{uuid.uuid4().hex}"
+    folder = new_folder(root, name)
     writer = frame.select(*_SCHEMAS[name].fieldNames()).write
     if name != "core":
         writer = writer.partitionBy("kind")
@@ -69,16 +48,6 @@ def write_part(frame: DataFrame, root: str, name: str) -> str:
     return folder
 
 
-def publish(spark: SparkSession, root: str, snapshot: dict, parts: dict) -> dict:
-    """Make ``parts`` the current catalogue by appending one manifest line."""
-    entry = {"version": snapshot["version"] + 1, "parts": parts}
-    line = spark.createDataFrame(
-        [(entry["version"], json.dumps(parts))], "version BIGINT, parts STRING"
-    )
-    line.coalesce(1).write.mode("append").json(f"{root}/manifest")
-    return entry
-
-
 def compact(spark: SparkSession, root: str) -> dict:
     """Rewrite the many small parts left by many loads as one part per table."""
     snapshot = current_snapshot(spark, root)

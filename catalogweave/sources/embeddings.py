@@ -1,20 +1,16 @@
-"""Embedding store: one Parquet table (fic_id, embedding, model_name, dim)."""
+"""Embedding store: one table (fic_id, embedding, model_name, dim) behind a manifest."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EMBEDDING_SCHEMA
+from .manifest import current_snapshot, new_folder, publish, read_parts
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """The store at ``path``; an empty frame when nothing was stored yet."""
-    try:
-        return spark.read.schema(EMBEDDING_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], EMBEDDING_SCHEMA)
+    """The current store at ``path``; an empty frame when nothing was stored yet."""
+    folders = current_snapshot(spark, path)["parts"].get("embeddings", [])
+    return read_parts(spark, folders, EMBEDDING_SCHEMA)
 
 
 def as_store(vectors: DataFrame, model_name: str) -> DataFrame:
@@ -28,14 +24,15 @@ def as_store(vectors: DataFrame, model_name: str) -> DataFrame:
 
 
 def write_embeddings(store: DataFrame, path: str) -> None:
-    """Write a whole store, range-partitioned by id so a lookup touches few row groups."""
-    (
-        store.select(*EMBEDDING_SCHEMA.fieldNames())
-        .repartitionByRange("fic_id")
-        .sortWithinPartitions("fic_id")
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    """Publish a whole new store, range-partitioned by id so a lookup touches few row groups.
+
+    The previous store stays in place, so the new one may be computed from it.
+    """
+    spark = store.sparkSession
+    snapshot, folder = current_snapshot(spark, path), new_folder(path, "embeddings")
+    rows = store.select(*EMBEDDING_SCHEMA.fieldNames())
+    rows.repartitionByRange("fic_id").sortWithinPartitions("fic_id").write.parquet(folder)
+    publish(spark, path, snapshot, {"embeddings": [folder]})
 
 
 def get_embedding(store: DataFrame, fic_id: int) -> list[float]:
