@@ -16,6 +16,7 @@ from ..operators.normalize import (
 )
 from ..operators.validate import judge, split_valid, valid_rows, with_error
 from ..schemas import CORE_COLUMNS, TAG_KINDS
+from ..session import spread
 from .inputs import CLEAN_WORKS_SQL, raw_works, table
 
 ANY_NUMBER = r"/(\d+)"
@@ -23,7 +24,8 @@ BASE = "https://host"
 
 
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
 def clean_int(spark, sf_dir):

@@ -7,6 +7,8 @@ recommend; orders with their customers play raw records and crawled pages.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,7 +64,7 @@ NBSP = " "
 
 def orders_with_customers(spark, sf_dir):
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return spread(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")))
 
 
 def raw_works(spark, sf_dir):
