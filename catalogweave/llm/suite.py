@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, toxicity
+from . import bpe, embedding_dedup, fingerprint, lm, packing, quality, secrets, simhash, toxicity, urls
 from .common import is_remainder
 
 
@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_urls(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op3_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels)
@@ -29,6 +38,55 @@ def op4_packing(spark, sf_dir):
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_embeddings(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_fingerprints(spark, sf_dir):
+    found = fingerprint.compared_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint.as_text(F.col("samples")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_samples")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "next_id",
+    )
+
+
+def op7_lm(spark, sf_dir):
+    return lm.lm_scores(table(spark, sf_dir, "documents"), is_remainder(F.col("doc_id"), 7, 2))
+
+
+def op8_bpe(spark, sf_dir):
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    decoded = bpe.decode(encoded, ranks, pattern)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
+
+    def count(number):
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{rule.kind}") for k, rule in enumerate(secrets.BASE_RULES)],
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels)
@@ -42,8 +100,15 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_urls": op2_urls,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_embeddings": op5_embeddings,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_lm": op7_lm,
+    "op8_bpe": op8_bpe,
+    "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {}
