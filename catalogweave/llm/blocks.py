@@ -7,8 +7,9 @@ occurrence; positions stay in the block's documents. A block closes at a bounded
 of words or occurrences, so its memory is bounded, whatever the table's size; a single long
 document is a block of its own.
 
-The staged table has a row per document (codes) and rows per block and bucket (words):
-``bucket`` is null in the former. A word's number is ``first`` plus its place in ``words``.
+The staged table has a row per document (codes, packed) and rows per block and bucket
+(words with their numbers in the block): ``bucket`` is null in the former. Numbers are
+given in order of appearance, so frequent words have small ones and codes pack well.
 """
 
 import itertools
@@ -27,6 +28,17 @@ MOST_WORDS = 250_000
 MOST_OCCURRENCES = 3_000_000
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Non-negative 32-bit numbers, byte plane by byte plane, deflated."""
+    planes = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def word_blocks(docs: DataFrame, cut, buckets: int, counted: Column, key="doc_id", text="text") -> DataFrame:
     """Stage ``docs`` as blocks. ``cut(text)`` lists the words of a text, never null.
 
@@ -35,55 +47,40 @@ def word_blocks(docs: DataFrame, cut, buckets: int, counted: Column, key="doc_id
     known = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), counted.alias("counted"))
     kind = known.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"block long, doc_id {kind}, counted boolean, codes binary, bucket int, first int, "
+        f"block long, doc_id {kind}, counted boolean, codes binary, bucket int, numbers array<int>, "
         "words array<string>, counts array<long>"
     )
 
+    def closed(block, id_type, ids, flags, codes, place):
+        """The rows of a finished block."""
+        words = list(place)
+        counts = np.zeros(len(words), np.int64)
+        learned = [own for flag, own in zip(flags, codes) if flag]
+        if learned:
+            counts += np.bincount(np.concatenate(learned), minlength=len(words))
+        bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], dtype=np.int64)
+        order = np.argsort(bucket, kind="stable")
+        used, starts = np.unique(bucket[order], return_index=True)
+        own = [order[a:b] for a, b in zip(starts, [*starts[1:], len(words)])]
+        n, m = len(ids), len(used)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block] * (n + m), pa.int64()),
+                pa.array(ids + [None] * m, id_type),
+                pa.array(flags + [None] * m, pa.bool_()),
+                pa.array([pack_numbers(c) for c in codes] + [None] * m, pa.binary()),
+                pa.array([None] * n + used.tolist(), pa.int32()),
+                pa.array([None] * n + [o.astype(np.int32) for o in own], pa.list_(pa.int32())),
+                pa.array([None] * n + [[words[k] for k in o] for o in own], pa.list_(pa.string())),
+                pa.array([None] * n + [counts[o] for o in own], pa.list_(pa.int64())),
+            ],
+            names=["block", "doc_id", "counted", "codes", "bucket", "numbers", "words", "counts"],
+        )
+
     def run(batches):
-        task, numbers = TaskContext.get().partitionId(), itertools.count()
-        id_type = None
-        ids, flags, codes, size = [], [], [], 0
+        task, blocks = TaskContext.get().partitionId(), itertools.count()
+        ids, flags, codes, size, id_type = [], [], [], 0, None
         place = defaultdict(itertools.count().__next__)
-
-        def close():
-            nonlocal ids, flags, codes, size, place
-            if not ids:
-                return
-            block, words = (task << 24) + next(numbers), list(place)
-            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], dtype=np.int64)
-            order = np.argsort(bucket, kind="stable")
-            renumbered = np.empty(len(words), np.int32)
-            renumbered[order] = np.arange(len(words), dtype=np.int32)
-            counts = np.zeros(len(words), np.int64)
-            out = []
-            for flag, own in zip(flags, codes):
-                if flag:
-                    counts += np.bincount(own, minlength=len(words)) if len(own) * 8 > len(words) else 0
-                    if len(own) * 8 <= len(words):
-                        np.add.at(counts, own, 1)
-                out.append(renumbered[own].tobytes())
-            counts = counts[order]
-            used, starts = np.unique(bucket[order], return_index=True)
-            stops = [*starts[1:], len(words)]
-            sorted_words = [words[k] for k in order]
-            n, m = len(ids), len(used)
-            lists = [(sorted_words[a:b], counts[a:b]) for a, b in zip(starts, stops)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * (n + m), pa.int64()),
-                    pa.array(ids + [None] * m, id_type),
-                    pa.array(flags + [None] * m, pa.bool_()),
-                    pa.array(out + [None] * m, pa.binary()),
-                    pa.array([None] * n + used.tolist(), pa.int32()),
-                    pa.array([None] * n + [int(s) for s in starts], pa.int32()),
-                    pa.array([None] * n + [w for w, _ in lists], pa.list_(pa.string())),
-                    pa.array([None] * n + [c for _, c in lists], pa.list_(pa.int64())),
-                ],
-                names=["block", "doc_id", "counted", "codes", "bucket", "first", "words", "counts"],
-            )
-            ids, flags, codes, size = [], [], [], 0
-            place = defaultdict(itertools.count().__next__)
-
         for batch in batches:
             id_type = batch.column("doc_id").type
             for doc, value, flag in zip(batch.column("doc_id"), batch.column("text"), batch.column("counted")):
@@ -93,8 +90,11 @@ def word_blocks(docs: DataFrame, cut, buckets: int, counted: Column, key="doc_id
                 codes.append(own)
                 size += len(own)
                 if size > MOST_OCCURRENCES or len(place) > MOST_WORDS:
-                    yield from close()
-        yield from close()
+                    yield closed((task << 24) + next(blocks), id_type, ids, flags, codes, place)
+                    ids, flags, codes, size = [], [], [], 0
+                    place = defaultdict(itertools.count().__next__)
+        if ids:
+            yield closed((task << 24) + next(blocks), id_type, ids, flags, codes, place)
 
     return stage(known.mapInArrow(run, schema), "blocks")
 
@@ -104,5 +104,5 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
 
 def words_of(blocks: DataFrame) -> DataFrame:
-    """One row per block and bucket: block, bucket, first, words, counts."""
-    return blocks.where("bucket IS NOT NULL").select("block", "bucket", "first", "words", "counts")
+    """One row per block and bucket: block, bucket, numbers, words, counts."""
+    return blocks.where("bucket IS NOT NULL").select("block", "bucket", "numbers", "words", "counts")

@@ -12,6 +12,7 @@ null keys give a row each.
 
 import base64
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import documents_of, word_blocks, words_of
+from .blocks import documents_of, pack_numbers, unpack_numbers, word_blocks, words_of
 from .common import worker_cache
 
 REMEMBERED = 2_000_000  # words whose ids a task remembers; beyond that it starts afresh
@@ -58,6 +59,18 @@ def cut_words(text: str, pattern) -> list[str]:
     return pattern.findall(text) if ODD_SPACE.search(text) else PLAIN_WORD.findall(text)
 
 
+def _deflated(words: list[bytes]) -> bytes:
+    lengths = pack_numbers(np.fromiter(map(len, words), np.int64, len(words)))
+    return len(lengths).to_bytes(4, "little") + lengths + zlib.compress(b"".join(words), 1)
+
+
+def _inflated(packed: bytes) -> list[bytes]:
+    size = int.from_bytes(packed[:4], "little")
+    ends = np.cumsum(unpack_numbers(packed[4 : 4 + size])).tolist()
+    joined = zlib.decompress(packed[4 + size :])
+    return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text") -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit numbers."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -67,43 +80,50 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text")
 
     blocks = word_blocks(docs, cut, buckets, F.lit(False), key, text)
 
+    def pack_words(batches):
+        """Word lists as deflated bytes, as they are shuffled."""
+        for batch in batches:
+            numbers = [pack_numbers(v.values.to_numpy()) for v in batch.column("numbers")]
+            words = [_deflated([w.encode() for w in v.as_py()]) for v in batch.column("words")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("bucket"), pa.array(numbers), pa.array(words)], packed
+            )
+
     def encode_words(batches):
         encoder, known = _vocabulary(ranks, pattern)[0], {}
         for batch in batches:
             sizes, flat = [], []
             for words in batch.column("words"):
-                lengths, parts = [], []
-                for word in words.as_py():
+                parts = []
+                for word in _inflated(words.as_py()):
                     ids = known.get(word)
                     if ids is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        ids = known[word] = np.array(encoder.encode_ordinary(word), dtype="<u4").tobytes()
-                    lengths.append(len(ids) // 4)
+                        ids = known[word] = np.array(encoder.encode_ordinary(word.decode()), dtype="<u4").tobytes()
                     parts.append(ids)
-                sizes.append(np.array(lengths, dtype="<u4").tobytes())
-                flat.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("first"), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())],
-                ["block", "first", "sizes", "ids"],
-            )
+                sizes.append(pack_numbers(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
+                flat.append(pack_numbers(np.frombuffer(b"".join(parts), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("numbers"), pa.array(sizes), pa.array(flat)], done)
 
-    words = words_of(blocks).select("block", "bucket", "first", "words").repartition(buckets, "bucket")
-    encoded = words.mapInArrow(encode_words, "block long, first int, sizes binary, ids binary")
+    packed, done = ["block", "bucket", "numbers", "words"], ["block", "numbers", "sizes", "ids"]
+    words = words_of(blocks).select(*packed).mapInArrow(pack_words, "block long, bucket int, numbers binary, words binary")
+    encoded = words.repartition(buckets, "bucket").mapInArrow(encode_words, "block long, numbers binary, sizes binary, ids binary")
     found = documents_of(blocks).select("block", "doc_id", "codes")
 
     def assemble(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("first")
-        sizes = np.frombuffer(b"".join(words["sizes"]), dtype="<u4").astype(np.int64)
-        ids = np.frombuffer(b"".join(words["ids"]), dtype="<u4")
-        starts = np.cumsum(sizes) - sizes
+        numbers, sizes, ids = (
+            np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, words[c])]) for c in ("numbers", "sizes", "ids")
+        )
+        many_of, start_of = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        many_of[numbers], start_of[numbers] = sizes, np.cumsum(sizes) - sizes
         out = []
         for codes in documents["codes"]:
-            own = np.frombuffer(codes, dtype=np.int32)
-            many = sizes[own]
+            own = unpack_numbers(codes)
+            many = many_of[own]
             ends = np.cumsum(many)
-            places = np.repeat(starts[own] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(ids[places].tobytes())
+            places = np.repeat(start_of[own] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+            out.append(ids[places].astype("<u4").tobytes())
         return pd.DataFrame({"doc_id": documents["doc_id"], "ids": out})
 
     kind = found.schema["doc_id"].dataType.simpleString()

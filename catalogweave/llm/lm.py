@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import documents_of, word_blocks, words_of
+from .blocks import documents_of, unpack_numbers, word_blocks, words_of
 from .common import stage
 
 STATES = 8
@@ -161,10 +161,8 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = word_blocks(docs, cut_tokens, buckets, ~held_out, key, text)
-    listed = words_of(blocks).select("block", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word"))
-    entries = listed.select(
-        "block", (F.col("first") + F.col("at")).alias("code"), F.col("word.words").alias("word"), F.col("word.counts").alias("n")
-    )
+    zipped = F.arrays_zip(F.col("numbers").alias("code"), F.col("words").alias("word"), F.col("counts").alias("n"))
+    entries = words_of(blocks).select("block", F.inline(zipped))
     counted = stage(entries.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     ranked = counted.where("c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).select("word").collect()
     frequent = spark.createDataFrame([(r[0], k) for k, r in enumerate(ranked)], "word string, class int")
@@ -176,7 +174,7 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
     tokens, words = np.zeros(size), np.zeros(size)
     tokens[per_class["class"]], words[per_class["class"]] = per_class["n"], per_class["v"]
     total, distinct = int(tokens.sum()), int(words.sum())
-    back = entries.select("block", "code", "word").join(classed, "word").select("block", "code", "c", "class")
+    back = entries.select("block", "code", "word").join(classed, "word").select(F.col("block").alias("in_block"), "code", "c", "class")
     found = documents_of(blocks)
 
     def translate(documents: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +182,7 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
         known, kinds = np.zeros(len(code), np.int64), np.zeros(len(code), "<u2")
         known[code], kinds[code] = entries["c"].to_numpy(), entries["class"].to_numpy()
         logs = np.log10(known + 1.0)
-        own = [np.frombuffer(codes, dtype=np.int32) for codes in documents["codes"]]
+        own = [unpack_numbers(codes) for codes in documents["codes"]]
         return pd.DataFrame(
             {
                 "doc_id": documents["doc_id"],
@@ -198,7 +196,7 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
 
     kind = found.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, learning boolean, n_tokens long, n_known long, log_counts double, classes binary"
-    grouped = found.groupBy("block").cogroup(back.groupBy("block"))
+    grouped = found.groupBy("block").cogroup(back.groupBy("in_block"))
     documents = stage(grouped.applyInPandas(translate, schema), "class-sequences")
     shares = (tokens + 0.01) / (tokens + 0.01).sum()
     model = train(documents.where("learning"), size, shares, rounds)
