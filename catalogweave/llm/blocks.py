@@ -9,7 +9,8 @@ document is a block of its own.
 
 The staged table has a row per document (codes, packed) and rows per block and bucket
 (words with their numbers in the block): ``bucket`` is null in the former. Numbers are
-given in order of appearance, so frequent words have small ones and codes pack well.
+given by frequency, so frequent words have small ones and codes pack well. The table is
+bucketed by block, so its documents need no shuffle to meet what comes back for a block.
 """
 
 import itertools
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage_by
 
-MOST_WORDS = 250_000
-MOST_OCCURRENCES = 3_000_000
+MOST_WORDS = 500_000
+MOST_OCCURRENCES = 4_000_000
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
@@ -53,7 +54,12 @@ def word_blocks(docs: DataFrame, cut, buckets: int, counted: Column, key="doc_id
 
     def closed(block, id_type, ids, flags, codes, place):
         """The rows of a finished block."""
-        words = list(place)
+        seen = np.bincount(np.concatenate(codes), minlength=len(place))
+        ranked = np.argsort(-seen, kind="stable")
+        rank = np.empty(len(seen), np.int32)
+        rank[ranked] = np.arange(len(seen), dtype=np.int32)
+        codes, listed = [rank[own] for own in codes], list(place)
+        words = [listed[k] for k in ranked]
         counts = np.zeros(len(words), np.int64)
         learned = [own for flag, own in zip(flags, codes) if flag]
         if learned:
@@ -96,7 +102,7 @@ def word_blocks(docs: DataFrame, cut, buckets: int, counted: Column, key="doc_id
         if ids:
             yield closed((task << 24) + next(blocks), id_type, ids, flags, codes, place)
 
-    return stage(known.mapInArrow(run, schema), "blocks")
+    return stage_by(known.mapInArrow(run, schema), "blocks", "block", buckets)
 
 
 def documents_of(blocks: DataFrame) -> DataFrame:

@@ -83,7 +83,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text")
     def pack_words(batches):
         """Word lists as deflated bytes, as they are shuffled."""
         for batch in batches:
-            numbers = [pack_numbers(v.values.to_numpy()) for v in batch.column("numbers")]
+            # Numbers ascend within a bucket; their steps are small.
+            numbers = [pack_numbers(np.diff(v.values.to_numpy(), prepend=0)) for v in batch.column("numbers")]
             words = [_deflated([w.encode() for w in v.as_py()]) for v in batch.column("words")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("bucket"), pa.array(numbers), pa.array(words)], packed
@@ -112,9 +113,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text")
     found = documents_of(blocks).select("block", "doc_id", "codes")
 
     def assemble(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        numbers, sizes, ids = (
-            np.concatenate([np.zeros(0, np.int64), *map(unpack_numbers, words[c])]) for c in ("numbers", "sizes", "ids")
-        )
+        none = [np.zeros(0, np.int64)]
+        numbers = np.concatenate(none + [np.cumsum(unpack_numbers(v)) for v in words["numbers"]])
+        sizes, ids = (np.concatenate(none + [unpack_numbers(v) for v in words[c]]) for c in ("sizes", "ids"))
         many_of, start_of = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         many_of[numbers], start_of[numbers] = sizes, np.cumsum(sizes) - sizes
         out = []

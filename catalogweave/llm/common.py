@@ -2,11 +2,12 @@
 
 import sys
 import types
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, shared_folder
+from ..session import scratch_path
 
 # One MB of slots: a share of the labels is drawn by comparing a hash with a slot number.
 HASH_SLOTS = 1 << 20
@@ -24,8 +25,18 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def ensure_shared(frame: DataFrame) -> None:
-    shared_folder(frame.sparkSession)
+def stage_by(frame: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``stage`` as a table bucketed by ``key``: grouping or joining by it later needs no shuffle.
+
+    The catalogue entry is dropped again at once; the files stay in the shared folder.
+    """
+    spark = frame.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    writer = frame.write.format("parquet").bucketBy(buckets, key)
+    writer.option("compression", "zstd").option("path", scratch_path(spark, name)).saveAsTable(table)
+    staged = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return staged
 
 
 def remainder(key: Column, mod: int) -> Column:
