@@ -12,7 +12,8 @@ share of equal samples of two fingerprints estimates it.
 
 Spark computes all samples of a term in one aggregation: a sample's state is one long, ln a
 in its upper bits and a tag of (w, t) in its lower 24, so a minimum is all there is to
-aggregate. The inverse distribution of Gamma(2, 1) is a table of ``QUANTILES`` values.
+aggregate. The inverse distribution of Gamma(2, 1) is a table of ``QUANTILES`` values, between
+which c is interpolated.
 
 The edited text of a document ends with the beginning of the next document. Positions in
 the order of ids come from a range-partitioned sort of ids alone; texts are shuffled by
@@ -24,7 +25,7 @@ document and give one row. Null ids come last; ties are ordered by a hash of the
 """
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranges import with_position
@@ -33,13 +34,13 @@ from .common import stage
 SAMPLES = 64
 TAG_BITS = 24
 EMPTY = "f" * (TAG_BITS // 4)
-QUANTILES = 4096  # a power of two: twelve bits of a hash choose a quantile
+QUANTILES = 256  # a power of two: eight bits of a hash choose a quantile
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
-def gamma_quantiles(count: int = QUANTILES) -> np.ndarray:
-    """The middle quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x)."""
-    wanted = (np.arange(count) + 0.5) / count
+def gamma_quantiles(shares: np.ndarray) -> np.ndarray:
+    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x)."""
+    wanted, count = np.asarray(shares), len(shares)
     low, high = np.zeros(count), np.full(count, 40.0)
     for _ in range(80):
         middle = (low + high) / 2
@@ -50,7 +51,7 @@ def gamma_quantiles(count: int = QUANTILES) -> np.ndarray:
 
 def _constant(values: np.ndarray) -> Column:
     """A foldable array column; the optimiser turns it into one literal."""
-    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
 def weighted_terms(rows: DataFrame, text: str) -> DataFrame:
@@ -81,15 +82,17 @@ def weighted_terms(rows: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _sample(j: int, quantiles: Column) -> Column:
+def _sample(j: int, middles: Column, bounds: Column) -> Column:
     """Order and tag of sample ``j`` of the columns term and log_weight, as one long."""
     drawn = F.xxhash64("term", F.lit(j))
 
     def bits(at: int, width: int) -> Column:
         return F.shiftrightunsigned(drawn, at).bitwiseAND(F.lit((1 << width) - 1))
 
-    r, c = F.get(quantiles, bits(0, 12).cast("int")), F.get(quantiles, bits(12, 12).cast("int"))
-    b = bits(24, 20) / float(1 << 20)
+    place = bits(8, 8).cast("int")
+    low, high = F.get(bounds, place), F.get(bounds, place + 1)
+    r, c = F.get(middles, bits(0, 8).cast("int")), low + (high - low) * ((bits(16, 12) + 0.5) / float(1 << 12))
+    b = bits(28, 12) / float(1 << 12)
     t = F.floor(F.col("log_weight") / r + b)
     log_a = F.ln(c) - r * (t - b) - r
     order = ((F.greatest(log_a, F.lit(-500.0)) + 512.0) * float(1 << 29)).cast("long")
@@ -99,8 +102,10 @@ def _sample(j: int, quantiles: Column) -> Column:
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """``samples`` array of tags per group of ``keys`` from (term, log_weight) rows; -1 without terms."""
-    quantiles = _constant(gamma_quantiles())
-    least = terms.groupBy(*keys).agg(*[F.min(_sample(j, quantiles)).alias(f"s{j}") for j in range(samples)])
+    shares = np.arange(QUANTILES)
+    middles = _constant(gamma_quantiles((shares + 0.5) / QUANTILES))
+    bounds = _constant(gamma_quantiles(np.append(shares / QUANTILES, 1 - 0.25 / QUANTILES)))
+    least = terms.groupBy(*keys).agg(*[F.min(_sample(j, middles, bounds)).alias(f"s{j}") for j in range(samples)])
     low = F.lit((1 << TAG_BITS) - 1)
     tags = [F.coalesce(F.col(f"s{j}").bitwiseAND(low), F.lit(-1)).cast("int") for j in range(samples)]
     return least.select(*keys, F.array(*tags).alias("samples"))
@@ -150,9 +155,7 @@ def edited_documents(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     sized = texts.select("doc_id", "row", F.char_length("text").cast("long").alias("n_chars"))
     ring = stage(neighbours(sized), "ring")
     half = F.floor(F.col("n_chars") / 2)
-    one = Window.partitionBy("row").orderBy("row")
-    own = texts.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy")
-    met = own.join(ring, "row")
+    met = texts.join(ring, "row")  # rows that repeat id and text stay until they are grouped by their facts
     given = met.select(
         F.col("before").alias("row"),
         F.col("row").alias("next"),
