@@ -19,11 +19,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import documents_of, pack_numbers, unpack_numbers, word_blocks, words_of
+from .blocks import pack_numbers, unpack_numbers, word_blocks, words_of
 from .common import worker_cache
 
-REMEMBERED = 2_000_000  # words whose ids a task remembers; beyond that it starts afresh
+SLICE = 512  # documents decoded at a time
+REMEMBERED = 1_000_000  # words whose ids a task remembers; beyond that it starts afresh
 # White space other than single spaces and single line breaks inside a text.
 ODD_SPACE = re.compile(r"[^\S\n ]| [ \n]|\n[ \n]| \Z")
 PLAIN_WORD = re.compile(r"\n| ?[^ \n]+")
@@ -61,7 +63,7 @@ def cut_words(text: str, pattern) -> list[str]:
 
 def _deflated(words: list[bytes]) -> bytes:
     lengths = pack_numbers(np.fromiter(map(len, words), np.int64, len(words)))
-    return len(lengths).to_bytes(4, "little") + lengths + zlib.compress(b"".join(words), 1)
+    return len(lengths).to_bytes(4, "little") + lengths + zlib.compress(b"".join(words), 6)
 
 
 def _inflated(packed: bytes) -> list[bytes]:
@@ -83,12 +85,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text")
     def pack_words(batches):
         """Word lists as deflated bytes, as they are shuffled."""
         for batch in batches:
-            # Numbers ascend within a bucket; their steps are small.
-            numbers = [pack_numbers(np.diff(v.values.to_numpy(), prepend=0)) for v in batch.column("numbers")]
             words = [_deflated([w.encode() for w in v.as_py()]) for v in batch.column("words")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("bucket"), pa.array(numbers), pa.array(words)], packed
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(words)], packed)
 
     def encode_words(batches):
         encoder, known = _vocabulary(ranks, pattern)[0], {}
@@ -105,40 +103,54 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text")
                     parts.append(ids)
                 sizes.append(pack_numbers(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
                 flat.append(pack_numbers(np.frombuffer(b"".join(parts), "<u4")))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("numbers"), pa.array(sizes), pa.array(flat)], done)
-
-    packed, done = ["block", "bucket", "numbers", "words"], ["block", "numbers", "sizes", "ids"]
-    words = words_of(blocks).select(*packed).mapInArrow(pack_words, "block long, bucket int, numbers binary, words binary")
-    encoded = words.repartition(buckets, "bucket").mapInArrow(encode_words, "block long, numbers binary, sizes binary, ids binary")
-    found = documents_of(blocks).select("block", "doc_id", "codes")
-
-    def assemble(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(sizes), pa.array(flat)], done)
+
+    packed, done = ["block", "bucket", "words"], ["in_block", "in_bucket", "sizes", "ids"]
+    words = words_of(blocks).select(*packed).mapInArrow(pack_words, "block long, bucket int, words binary")
+    encoded = words.repartition(buckets, "bucket").mapInArrow(
+        encode_words, "in_block long, in_bucket int, sizes binary, ids binary"
+    )
+    # The block's own rows, where they were staged: documents with codes, buckets with their words' numbers.
+    # Keys travel as text, because pandas would turn a column with nulls into floats.
+    own_rows = blocks.select("block", F.col("doc_id").cast("string").alias("doc_id"), "codes", "bucket", "numbers")
+
+    def assemble(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        documents, numbered = rows[rows["bucket"].isna()], rows[rows["bucket"].notna()].set_index("bucket")["numbers"]
         none = [np.zeros(0, np.int64)]
-        numbers = np.concatenate(none + [np.cumsum(unpack_numbers(v)) for v in words["numbers"]])
+        numbers = np.concatenate(none + [np.asarray(numbered[b], dtype=np.int64) for b in words["in_bucket"]])
         sizes, ids = (np.concatenate(none + [unpack_numbers(v) for v in words[c]]) for c in ("sizes", "ids"))
         many_of, start_of = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         many_of[numbers], start_of[numbers] = sizes, np.cumsum(sizes) - sizes
-        out = []
+        ids, out = ids.astype("<u4"), []
         for codes in documents["codes"]:
             own = unpack_numbers(codes)
             many = many_of[own]
             ends = np.cumsum(many)
             places = np.repeat(start_of[own] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(ids[places].astype("<u4").tobytes())
-        return pd.DataFrame({"doc_id": documents["doc_id"], "ids": out})
+            out.append(ids[places].tobytes())
+        return pd.DataFrame({"doc_id": documents["doc_id"].to_numpy(), "ids": out})
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    grouped = found.groupBy("block").cogroup(encoded.groupBy("block"))
-    return grouped.applyInPandas(assemble, f"doc_id {kind}, ids binary")
+    kind = blocks.schema["doc_id"].dataType
+    grouped = own_rows.groupBy("block").cogroup(encoded.groupBy("in_block"))
+    found = grouped.applyInPandas(assemble, "doc_id string, ids binary")
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "ids")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids="ids", into="decoded") -> DataFrame:
-    """Add the bytes of the ids; rows with null ids decode to null."""
+    """Add the bytes of the ids as the last column; rows with null ids decode to null."""
+    kept = [f for f in encoded.schema.fields if f.name != into]
 
-    def run(values: pd.Series) -> pd.Series:
+    def run(batches):
         table = _vocabulary(ranks, pattern)[1]
-        return values.map(
-            lambda v: None if v is None else b"".join(map(table.__getitem__, np.frombuffer(v, dtype="<u4").tolist()))
-        )
-
-    return encoded.withColumn(into, F.pandas_udf(run, "binary")(F.col(ids)))
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                found = [
+                    None if v is None else b"".join(map(table.__getitem__, np.frombuffer(v, dtype="<u4").tolist()))
+                    for v in part.column(ids).to_pylist()
+                ]
+                columns = [part.column(f.name) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], [*[f.name for f in kept], into])
+
+    schema = T.StructType([*kept, T.StructField(into, T.BinaryType())])
+    return encoded.select(*[F.col(f.name) for f in kept]).mapInArrow(run, schema)

@@ -168,6 +168,8 @@ def test_lm_odd_rows(spark, odd_docs, no_docs, monkeypatch, most):
     held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
     rows = lm.lm_scores(odd_docs, held, rounds=2).collect()
     assert len(rows) == odd_docs.count() and all(math.isfinite(r["score"]) for r in rows)
+    large = spark.createDataFrame([(2**62 + 1, "a b"), (None, "a b")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in lm.lm_scores(large, F.lit(False), rounds=1).collect()} == {None, 2**62 + 1}
     assert [r["n_tokens"] for r in rows if r["doc_id"] == 0] == [1]
     assert lm.lm_scores(no_docs, held).count() == 0
     assert all(math.isfinite(r["score"]) for r in lm.lm_scores(odd_docs, F.lit(True), rounds=1).collect())

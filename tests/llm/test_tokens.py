@@ -114,6 +114,10 @@ def test_odd_rows(spark, odd_docs, no_docs, tokenizer, monkeypatch, most):
     for row in rows.collect():
         assert bytes(row["decoded"]) == (row["text"] or "").encode()
         assert np.frombuffer(row["ids"], "<u4").tolist() == library_ids(tokenizer, row["text"])
+    large = spark.createDataFrame([(2**62 + 1, "a b"), (None, "a b"), (2**62 + 3, "c")], "doc_id long, text string").coalesce(1)
+    wanted = {None, 2**62 + 1, 2**62 + 3}
+    assert {r["doc_id"] for r in bpe.encode(large, RANKS, public_tokenizers.PATTERN).collect()} == wanted
+    assert {r["doc_id"] for r in packing.pack(packing.pieces(large, JSON)).collect()} == wanted
     pieces = packing.pack(packing.pieces(odd_docs, JSON)).toPandas()
     assert pieces["doc_id"].isna().sum() == 1 and pieces.loc[pieces["doc_id"] == 0, "length"].tolist() == [1]
     assert packing.pack(packing.pieces(no_docs, JSON)).count() == 0
