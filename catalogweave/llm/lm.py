@@ -175,7 +175,8 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
     tokens[per_class["class"]], words[per_class["class"]] = per_class["n"], per_class["v"]
     total, distinct = int(tokens.sum()), int(words.sum())
     back = entries.select("block", "code", "word").join(classed, "word").select(F.col("block").alias("in_block"), "code", "c", "class")
-    found = documents_of(blocks)
+    # Keys travel as text, because pandas would turn a column with nulls into floats.
+    found = documents_of(blocks).withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def translate(documents: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         code = entries["code"].to_numpy()
@@ -194,8 +195,8 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
             }
         )
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, learning boolean, n_tokens long, n_known long, log_counts double, classes binary"
+    kind = blocks.schema["doc_id"].dataType
+    schema = "doc_id string, learning boolean, n_tokens long, n_known long, log_counts double, classes binary"
     grouped = found.groupBy("block").cogroup(back.groupBy("in_block"))
     documents = stage(grouped.applyInPandas(translate, schema), "class-sequences")
     shares = (tokens + 0.01) / (tokens + 0.01).sum()
@@ -211,7 +212,7 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
 
     scored = F.pandas_udf(score, "double")(F.col("classes"))
     return documents.select(
-        "doc_id",
+        F.col("doc_id").cast(kind).alias("doc_id"),
         (~F.col("learning")).alias("held_out"),
         "n_tokens",
         "n_known",

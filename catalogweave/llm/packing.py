@@ -162,14 +162,16 @@ def _pack(size: int, salt: int):
 def _dealt(short: DataFrame, count: int, salt: int, size: int, per_partition: int) -> DataFrame:
     parts = max(1, -(-count // per_partition))
     deal = F.pmod(F.xxhash64("doc_id", "length", "ids_crc32", F.lit(salt)), F.lit(parts))
-    kind = short.schema["doc_id"].dataType.simpleString()
+    kind = short.schema["doc_id"].dataType
     schema = (
-        f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, "
+        "doc_id string, piece int, start long, length long, ids_crc32 long, bin long, offset long, "
         "part long, salt int, used long, gap long"
     )
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    grouped = short.select(*columns, deal.cast("long").alias("deal")).groupBy("deal")
-    return stage(grouped.applyInPandas(_pack(size, salt), schema), f"packing-{salt}")
+    # Keys travel as text, because pandas would turn a column with nulls into floats.
+    keyed = short.select(*columns, deal.cast("long").alias("deal")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    packed = keyed.groupBy("deal").applyInPandas(_pack(size, salt), schema)
+    return stage(packed.withColumn("doc_id", F.col("doc_id").cast(kind)), f"packing-{salt}")
 
 
 def pack(found: DataFrame, size=SEQUENCE, per_partition=PER_PARTITION, rounds=ROUNDS) -> DataFrame:
