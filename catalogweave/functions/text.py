@@ -12,7 +12,20 @@ SPACES = "".join(
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 )
 
-DATE_FORMATS = ("yyyy-MM-dd", "dd MMM yyyy", "MM/dd/yyyy")
+# Layouts that are read as dates, the first that fits wins. Of two numbers with a slash the
+# first is the month.
+DATE_FORMATS = (
+    "yyyy-M-d",
+    "d MMM yyyy",
+    "M/d/yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "yyyy/M/d",
+    "yyyyMMdd",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss",
+)
 
 
 def trim_spaces(text: Column) -> Column:
@@ -59,6 +72,11 @@ def clean_date(text: Column, formats=DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_date(trimmed, f) for f in formats])
 
 
+def is_bad_date(text: Column, formats=DATE_FORMATS) -> Column:
+    """True when the text holds something that no layout reads."""
+    return blank_to_null(trim_spaces(text)).isNotNull() & clean_date(text, formats).isNull()
+
+
 def na_to_null(text: Column, tokens) -> Column:
     """Exact-match markers for "no value" become NULL."""
     return F.when(~text.isin(*tokens), text)

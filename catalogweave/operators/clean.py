@@ -16,9 +16,15 @@ from ..schemas import (
 from ..session import spread
 
 
+BAD_ROW = "bad_row"  # the fault, and the scan's column that marks it
+
+
 def fault_of(raw: DataFrame):
-    """First value that holds something but cannot be stored: ``bad_int:<column>`` or ``bad_status``."""
+    """Why a row cannot be stored: ``bad_row`` (more or fewer cells than the header), or the first
+    value that holds something unusable, ``bad_int:<column>`` or ``bad_status``."""
     fault = F.when(F.lit(False), F.lit(""))
+    if BAD_ROW in raw.columns:
+        fault = fault.when(F.col(BAD_ROW), F.lit(BAD_ROW))
     for c in INTEGER_COLUMNS:
         if c in raw.columns:
             fault = fault.when(X.is_bad_int(F.col(c)), F.lit(f"bad_int:{c}"))
@@ -32,7 +38,8 @@ def clean_works(raw: DataFrame) -> DataFrame:
     """Typed columns from text columns, in one narrow projection.
 
     Columns that are missing from ``raw`` stay missing. ``fault`` names the first
-    unusable value, which must be noted before absent counts turn into zeros.
+    unusable value, which must be noted before absent counts turn into zeros;
+    ``date_lost`` marks a date text that no layout reads (the date becomes NULL).
     """
     cleaned = []
     for column in raw.columns:
@@ -50,11 +57,14 @@ def clean_works(raw: DataFrame) -> DataFrame:
         if column in ZERO_DEFAULT_COLUMNS:
             value = F.coalesce(value, F.lit(0))
         cleaned.append(value.alias(column))
-    return spread(raw).select(*cleaned, fault_of(raw).alias("fault"))
+    lost = F.lit(False)
+    if "last_date" in raw.columns:
+        lost = X.is_bad_date(F.col("last_date"))
+    return spread(raw).select(*cleaned, fault_of(raw).alias("fault"), lost.alias("date_lost"))
 
 
 def with_missing_columns(frame: DataFrame) -> DataFrame:
-    """Add absent raw columns as NULL text or empty lists."""
+    """Add absent raw columns as NULL text or empty lists; all other columns stay."""
     columns = list(frame.columns)
     for c in RAW_COLUMNS:
         if c not in frame.columns:

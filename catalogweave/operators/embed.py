@@ -1,11 +1,14 @@
 """Text to vectors through a pluggable encoder."""
 
 import hashlib
+import sys
+import types
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +39,27 @@ class HashedTokenEncoder:
         return np.divide(out, norms, out=out, where=norms > 0).astype(np.float32)
 
 
+def per_worker(key: str, make):
+    """What ``make()`` returns, built once per Python worker and key and shared by its tasks."""
+    module = sys.modules.setdefault("_catalogweave_encoders", types.ModuleType("_catalogweave_encoders"))
+    if key not in module.__dict__:
+        module.__dict__[key] = make()
+    return module.__dict__[key]
+
+
 def embed_texts(
     texts: DataFrame, make_encoder=HashedTokenEncoder, id_column: str = "fic_id", text_column: str = "summary"
 ) -> DataFrame:
     """(fic_id, embedding) for each non-NULL text.
 
-    ``make_encoder`` is called once per task and returns a callable from a list of
-    texts to a float matrix, so a model is loaded once, not per batch.
+    ``make_encoder`` is called once per Python worker and returns a callable from a list of
+    texts to a float matrix, so a model is loaded once, not per task or batch. Factories are
+    told apart by their pickled code and arguments.
     """
+    key = hashlib.sha256(cloudpickle.dumps(make_encoder)).hexdigest()
 
     def encode(batches):
-        encoder = make_encoder()
+        encoder = per_worker(key, make_encoder)
         for batch in batches:
             if not len(batch):
                 continue

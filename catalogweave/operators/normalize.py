@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import derive_id
 from ..schemas import CORE_COLUMNS, TAG_KINDS
+from ..session import staged
 from .joins import absent_rows, lookup_join
 from .ranges import with_position
 
@@ -81,14 +82,22 @@ def assign_ids(values: DataFrame, existing: DataFrame | None = None) -> DataFram
     return numbered.select("kind", id_.cast("int").alias("id"), "value")
 
 
-def encode_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
+def count_tags(tags: DataFrame) -> DataFrame:
+    """Stored (kind, value, n): the vocabulary with its frequencies, from one pass over the tags.
+
+    It serves ``assign_ids`` as values and ``encode_tags`` as the key counts that find hot tags.
+    """
+    return staged(tags.groupBy("kind", "value").agg(F.count("*").alias("n")), "counted-tags")
+
+
+def encode_tags(tags: DataFrame, dictionary: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(fic_id, kind, value) to distinct (fic_id, kind, id).
 
     Values are encoded first and made distinct afterwards, so the second shuffle
-    moves numbers instead of texts.
+    moves numbers instead of texts. ``counts`` come from ``count_tags``.
     """
     values = tags.select("fic_id", "kind", "value")
-    encoded = lookup_join(values, dictionary.select("kind", "value", "id"), ["kind", "value"])
+    encoded = lookup_join(values, dictionary.select("kind", "value", "id"), ["kind", "value"], counts=counts)
     return encoded.select("fic_id", "kind", "id").distinct()
 
 
@@ -100,8 +109,9 @@ def unknown_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
 def lookup_and_pairs(works: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """Dictionary and sorted pairs of one kind, with ids local to this frame."""
     tags = explode_tags(works, [kind])
-    dictionary = assign_ids(tags)
-    pairs = encode_tags(tags, dictionary).orderBy("fic_id", "id")
+    counts = count_tags(tags)
+    dictionary = assign_ids(counts)
+    pairs = encode_tags(tags, dictionary, counts).orderBy("fic_id", "id")
     return dictionary.drop("kind"), pairs.drop("kind")
 
 

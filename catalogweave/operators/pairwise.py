@@ -1,139 +1,78 @@
 """All pairs of stored vectors above a similarity, exactly.
 
-Vectors are grouped around a bounded set of pivots. By the triangle inequality on
-angles two groups can only hold a pair above the threshold when the angle between
-their pivots minus both radii is small enough; all other group pairs are skipped.
-Large groups are cut into blocks of bounded size, so one crowded group becomes many
-tasks. Only pairs above the threshold ever leave a task.
+Vectors are dealt into p parts by a hash of their id, and every two parts meet in one
+cell of a triangular grid, so each vector is sent p times and p is about the square root
+of twice the number of tasks: the shuffle carries n x sqrt(2 x tasks) vectors, however many
+pairs are compared. A part holds a bounded number of vectors, and equal or similar vectors
+are spread like any others. Only pairs above the threshold ever leave a task.
 """
 
+from math import ceil, sqrt
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import pin
 from .retrieve import RANK_DECIMALS, _vectors
 
-MAX_PIVOTS = 256
-BLOCK_BYTES = 1 << 20
-_ANGLE_SLACK = 1e-6
+PART_BYTES = 32 << 20
+_SLICE = 1024
 
 PAIR_SCHEMA = "left_id bigint, right_id bigint, sim double"
 
 
-def pairwise_similarity(
-    store: DataFrame, min_similarity: float = -1.0, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """(left_id, right_id, sim) with left_id < right_id and sim >= min_similarity."""
+def grid_parts(rows: int, dim: int, tasks: int, part_bytes: int = PART_BYTES) -> int:
+    """Number of parts: enough cells for the tasks, and no part above ``part_bytes``."""
+    return max(1, min(rows, ceil(sqrt(2 * tasks))), ceil(rows * dim * 4 / part_bytes))
+
+
+def grid_cells(store: DataFrame, parts: int) -> DataFrame:
+    """Every vector once per cell it takes part in: (low, high, part, fic_id, embedding)."""
+    part = F.pmod(F.xxhash64("fic_id"), F.lit(parts)).cast("int")
+    dealt = store.select("fic_id", "embedding", part.alias("part"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other")
+    met = dealt.select("*", other)
+    return met.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fic_id", "embedding")
+
+
+def pairwise_similarity(store: DataFrame, min_similarity: float, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(left_id, right_id, sim) with left_id < right_id and sim >= min_similarity, which must be above 0.
+
+    A threshold at or below 0 would return nearly all pairs and is refused.
+    """
+    if not min_similarity > 0:
+        raise ValueError("min_similarity must be above 0")
     spark = store.sparkSession
     size = store.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if size["n"] < 2:
         return spark.createDataFrame([], PAIR_SCHEMA)
-    block_rows = max(16, block_bytes // (4 * size["dim"]))
-    grouped, pivots = _around_pivots(store, size["n"], block_rows)
-    groups = grouped.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-    groups = groups.orderBy("pivot").collect()  # at most MAX_PIVOTS rows
-    near = _near_groups(groups, pivots, min_similarity)
-
-    parts = spark.createDataFrame(
-        [(g["pivot"], -(-g["n"] // block_rows)) for g in groups], "pivot int, parts int"
-    )
-    blocks = _blocks(grouped.join(F.broadcast(parts), "pivot"))
-    tasks = _block_pairs(spark.createDataFrame(near, "a int, b int"), parts)
-    a = blocks.select(*[F.col(c).alias(f"a_{c}") for c in blocks.columns])
-    b = blocks.select(*[F.col(c).alias(f"b_{c}") for c in blocks.columns])
-    met = tasks.join(a, ["a_pivot", "a_part"]).join(b, ["b_pivot", "b_part"])
-    met = met.select("a_ids", "a_vectors", "b_ids", "b_vectors")
-    return met.mapInArrow(_compare(min_similarity), PAIR_SCHEMA)
-
-
-def _around_pivots(store, n, block_rows):
-    """Each vector with its closest pivot and the angle to it."""
-    spark = store.sparkSession
-    wanted = int(min(MAX_PIVOTS, max(1, n // block_rows)))
-    chosen = store.orderBy(F.xxhash64("fic_id"), "fic_id").limit(wanted).select("embedding").toArrow()
-    pivots = _vectors(chosen.column("embedding").combine_chunks())
-    shipped = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            sims = _vectors(batch.column("embedding")) @ shipped.value.T
-            pivot = sims.argmax(axis=1)
-            angle = np.arccos(np.clip(sims[np.arange(len(batch)), pivot], -1.0, 1.0))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("fic_id"),
-                    batch.column("embedding"),
-                    pa.array(pivot.astype(np.int32)),
-                    pa.array(angle),
-                ],
-                ["fic_id", "embedding", "pivot", "angle"],
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cells = grid_cells(store, grid_parts(size["n"], size["dim"], tasks, part_bytes))
+    return cells.groupBy("low", "high").applyInArrow(_compare(min_similarity), PAIR_SCHEMA)
+
+
+def _compare(min_similarity: float):
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        low, high = key[0].as_py(), key[1].as_py()
+        group = group.combine_chunks()
+        ids = group.column("fic_id").to_numpy()
+        units = _vectors(group.column("embedding").combine_chunks())
+        first = group.column("part").to_numpy() == low
+        a_ids, b_ids = ids[first], ids if low == high else ids[~first]
+        a, b = units[first], units if low == high else units[~first]
+        found = []
+        for at in range(0, len(a_ids), _SLICE):
+            sims = np.round(a[at : at + _SLICE] @ b.T, RANK_DECIMALS)
+            wanted = sims >= min_similarity
+            if low == high:
+                wanted &= a_ids[at : at + _SLICE, None] < b_ids[None, :]
+            rows, columns = np.nonzero(wanted)
+            left, right = a_ids[at + rows], b_ids[columns]
+            found.append(
+                pd.DataFrame({"left_id": np.minimum(left, right), "right_id": np.maximum(left, right), "sim": sims[rows, columns]})
             )
-
-    schema = "fic_id bigint, embedding array<float>, pivot int, angle double"
-    return pin(store.select("fic_id", "embedding").mapInArrow(assign, schema)), pivots
-
-
-def _near_groups(groups, pivots, min_similarity):
-    limit = np.arccos(np.clip(min_similarity, -1.0, 1.0)) + _ANGLE_SLACK
-    if min_similarity <= 0:
-        limit = np.inf  # zero vectors have similarity 0 to everything
-    ids = np.array([g["pivot"] for g in groups])
-    radius = np.array([g["radius"] for g in groups])
-    angles = np.arccos(np.clip(pivots[ids] @ pivots[ids].T, -1.0, 1.0))
-    close = angles - radius[:, None] - radius[None, :] <= limit
-    a, b = np.nonzero(np.triu(close))
-    return [(int(ids[i]), int(ids[j])) for i, j in zip(a, b)]
-
-
-def _blocks(grouped):
-    part = F.pmod(F.xxhash64("fic_id"), F.col("parts")).cast("int")
-    rows = grouped.select("pivot", part.alias("part"), F.struct("fic_id", "embedding").alias("row"))
-    packed = rows.groupBy("pivot", "part").agg(F.collect_list("row").alias("rows"))
-    return packed.select(
-        "pivot", "part", F.col("rows.fic_id").alias("ids"), F.col("rows.embedding").alias("vectors")
-    )
-
-
-def _block_pairs(near, parts):
-    """Block pairs of all near group pairs, each unordered pair once."""
-
-    def side(name):
-        numbered = parts.select(
-            F.col("pivot").alias(name), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"{name}_part")
-        )
-        return numbered
-
-    pairs = near.join(side("a"), "a").join(side("b"), "b")
-    once = pairs.where((F.col("a") != F.col("b")) | (F.col("a_part") <= F.col("b_part")))
-    return once.select(F.col("a").alias("a_pivot"), "a_part", F.col("b").alias("b_pivot"), "b_part")
-
-
-def _compare(min_similarity):
-    def compare(batches):
-        for batch in batches:
-            for i in range(len(batch)):
-                a_ids = batch.column("a_ids")[i].values.to_numpy()
-                b_ids = batch.column("b_ids")[i].values.to_numpy()
-                a = _vectors(batch.column("a_vectors")[i].values)
-                b = _vectors(batch.column("b_vectors")[i].values)
-                sims = np.round(a @ b.T, RANK_DECIMALS)
-                same = len(a_ids) == len(b_ids) and (a_ids == b_ids).all()
-                wanted = sims >= min_similarity
-                if same:
-                    wanted &= a_ids[:, None] < b_ids[None, :]
-                rows, columns = np.nonzero(wanted)
-                left, right = a_ids[rows], b_ids[columns]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.minimum(left, right)),
-                        pa.array(np.maximum(left, right)),
-                        pa.array(sims[rows, columns]),
-                    ],
-                    ["left_id", "right_id", "sim"],
-                )
+        return pa.Table.from_pandas(pd.concat(found), preserve_index=False)
 
     return compare

@@ -1,9 +1,14 @@
-"""Column profiles of a raw or cleaned frame, one scan per kind of figure."""
+"""Column profiles of a raw or cleaned frame.
+
+Each figure has a function of its own, which scans the frame once. ``profile`` makes all of
+them together from three scans: one aggregate, one count of values, one for samples.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import staged
 from .ranges import with_cumulative
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -41,7 +46,11 @@ def exact_quantiles(frame: DataFrame, columns, shares=QUARTILES) -> DataFrame:
     are picked. No task ever holds a whole column.
     """
     long = _unpivot(frame, columns, "double").where("value is not null")
-    counted = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    return _quantiles(long.groupBy("column", "value").agg(F.count("*").alias("n")), shares)
+
+
+def _quantiles(counted: DataFrame, shares=QUARTILES) -> DataFrame:
+    """Quantiles from counted values (column, value, n)."""
     placed = with_cumulative(counted, ["column", "value"], "n")
     extents = placed.groupBy("column").agg(F.min("position").alias("start"), F.sum("n").alias("total"))
     wanted = extents.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
@@ -66,16 +75,25 @@ def exact_quantiles(frame: DataFrame, columns, shares=QUARTILES) -> DataFrame:
 def profile_numeric(frame: DataFrame, columns=None) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column."""
     columns = list(columns or numeric_columns(frame))
-    figures = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": lambda c: F.min(c).cast("double"),
-        "max": lambda c: F.max(c).cast("double"),
-    }
-    moments = frame.agg(*[f(c).alias(f"{c}|{name}") for c in columns for name, f in figures.items()])
-    moments = _wide_to_rows(moments, columns, figures)
-    quartiles = exact_quantiles(frame, columns).groupBy("column").agg(
+    return _numeric(frame.agg(*_moments(columns)), exact_quantiles(frame, columns), columns)
+
+
+_FIGURES = {
+    "count": F.count,
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "min": lambda c: F.min(c).cast("double"),
+    "max": lambda c: F.max(c).cast("double"),
+}
+
+
+def _moments(columns) -> list:
+    return [f(c).alias(f"{c}|{name}") for c in columns for name, f in _FIGURES.items()]
+
+
+def _numeric(one_row: DataFrame, quantiles: DataFrame, columns) -> DataFrame:
+    moments = _wide_to_rows(one_row, columns, _FIGURES)
+    quartiles = quantiles.groupBy("column").agg(
         *[
             F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"p{round(s * 100)}")
             for s in QUARTILES
@@ -94,13 +112,36 @@ def profile_values(frame: DataFrame, column: str) -> DataFrame:
 
 def profile_shape(frame: DataFrame) -> DataFrame:
     """(item, detail): row and column counts, then each column with its type."""
+    return _shape(frame.agg(F.count("*").alias("n")), frame.schema)
+
+
+def _shape(one_row: DataFrame, schema) -> DataFrame:
     types = [
         F.struct(F.lit(f"column {f.name}").alias("item"), F.lit(f.dataType.simpleString()).alias("detail"))
-        for f in frame.schema.fields
+        for f in schema.fields
     ]
-    columns = F.struct(F.lit("columns").alias("item"), F.lit(str(len(frame.columns))).alias("detail"))
+    columns = F.struct(F.lit("columns").alias("item"), F.lit(str(len(schema.fields))).alias("detail"))
     rows = F.struct(F.lit("rows").alias("item"), F.col("n").cast("string").alias("detail"))
-    return frame.agg(F.count("*").alias("n")).select(F.inline(F.array(rows, columns, *types)))
+    return one_row.select(F.inline(F.array(rows, columns, *types)))
+
+
+def _counted_values(frame: DataFrame, numbers, others) -> DataFrame:
+    """(column, number, text, n): every value of the given columns counted, in one pass.
+
+    ``text`` is set for the columns of ``others``, ``number`` for numeric columns.
+    """
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            (F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("number"),
+            (F.col(c).cast("string") if c in others else F.lit(None).cast("string")).alias("text"),
+        )
+        for c in dict.fromkeys([*numbers, *others])
+    ]
+    if not cells:
+        return frame.sparkSession.createDataFrame([], "column string, number double, text string, n bigint")
+    long = frame.select(F.inline(F.array(*cells)))
+    return long.groupBy("column", "number", "text").agg(F.count("*").alias("n"))
 
 
 def profile_samples(frame: DataFrame, columns, order, size: int = 3) -> DataFrame:
@@ -126,21 +167,24 @@ def profile(frame: DataFrame, order, value_columns=(), sample_columns=()) -> Dat
     def text(c, decimals=6):
         return F.format_string(f"%.{decimals}f", F.col(c))
 
+    numbers = numeric_columns(frame)
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"{c}|nulls") for c in frame.columns]
+    row = staged(frame.agg(F.count("*").alias("n"), *nulls, *_moments(numbers)), "profile-row")
+    counted = staged(_counted_values(frame, numbers, value_columns), "profile-values")
     sections = [
-        profile_shape(frame).select(F.lit("shape").alias("section"), "item", "detail"),
-        profile_nulls(frame).select(
-            F.lit("nulls"), F.col("column"), F.col("nulls").cast("string")
-        ),
+        _shape(row, frame.schema).select(F.lit("shape").alias("section"), "item", "detail"),
+        _wide_to_rows(row, frame.columns, ["nulls"]).select(F.lit("nulls"), F.col("column"), F.col("nulls").cast("string")),
     ]
     figures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     cells = [F.struct(F.lit(f).alias("figure"), text(f).alias("detail")) for f in figures]
-    numeric = profile_numeric(frame).select("column", F.inline(F.array(*cells)))
+    quantiles = _quantiles(counted.where("number IS NOT NULL").select("column", F.col("number").alias("value"), "n"))
+    numeric = _numeric(row, quantiles, numbers).select("column", F.inline(F.array(*cells)))
     sections.append(
         numeric.select(F.lit("numeric"), F.concat_ws(" ", "column", "figure"), F.col("detail"))
     )
     for c in value_columns:
-        values = profile_values(frame, c)
-        name = F.concat(F.lit(f"{c} "), F.coalesce(F.col("value").cast("string"), F.lit("NULL")))
+        values = counted.where(F.col("column") == c)
+        name = F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit("NULL")))
         sections.append(values.select(F.lit("values"), name, F.col("n").cast("string")))
     if sample_columns:
         samples = profile_samples(frame, sample_columns, order)

@@ -50,8 +50,8 @@ def check_pairs(core: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def check_dictionary(dictionary: DataFrame) -> DataFrame:
-    """No entry is stored twice; no id is given twice."""
-    entries = dictionary.groupBy("kind", "id", "value").agg((F.count("*") - 1).alias("violations"))
+    """No value is stored twice, under whatever ids; no id is given twice."""
+    entries = dictionary.groupBy("kind", "value").agg((F.count("*") - 1).alias("violations"))
     ids = dictionary.groupBy("kind", "id").agg((F.count("*") - 1).alias("violations"))
     return _per_kind(entries, "entry_unique", 0).unionByName(_per_kind(ids, "dictionary_id_unique", 0))
 
@@ -70,3 +70,24 @@ def check_catalogue(core: DataFrame, dictionary: DataFrame, pairs: DataFrame) ->
         .unionByName(check_pairs(core, pairs))
         .unionByName(check_dictionary(dictionary))
     )
+
+
+def check_delta(core: DataFrame, dictionary: DataFrame, pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """All checks of a load's own rows, given the ``stored`` dictionary.
+
+    ``core`` is whole buckets, so an id occurs in it as often as in the catalogue; the new
+    pairs belong to works of those buckets. New dictionary rows are held against each other
+    and against stored values and ids.
+    """
+    both = (("entry_known", "value"), ("id_known", "id"))
+    taken = [
+        _per_kind(
+            dictionary.join(stored.select("kind", column), ["kind", column], "left_semi")
+            .groupBy("kind")
+            .agg(F.count("*").alias("violations")),
+            check,
+            0,
+        )
+        for check, column in both
+    ]
+    return reduce(DataFrame.unionByName, taken, check_catalogue(core, dictionary, pairs))

@@ -1,7 +1,7 @@
 """Global positions without a single-partition window.
 
 Rows are range-partitioned and sorted once; each partition then needs one number,
-the total weight of the partitions before it. The ranged rows are pinned in
+the total weight of the partitions before it. The ranged rows are staged in
 between, because recomputing them could move the range boundaries.
 """
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import pin
+from ..session import staged
 
 _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: position in its partition
 
@@ -22,7 +22,7 @@ def with_position(frame: DataFrame, order: list[str]) -> DataFrame:
         F.spark_partition_id().alias("pid"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("before"),
     )
-    return _add_offsets(pin(local), F.count("*"), frame.columns)
+    return _add_offsets(staged(local, "ranged"), F.count("*"), frame.columns)
 
 
 def with_cumulative(frame: DataFrame, order: list[str], weight: str) -> DataFrame:
@@ -38,7 +38,7 @@ def with_cumulative(frame: DataFrame, order: list[str], weight: str) -> DataFram
     ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
     keyed = ranged.select(*frame.columns, F.spark_partition_id().alias("pid"))
     schema = T.StructType([*keyed.schema.fields, T.StructField("before", T.LongType())])
-    return _add_offsets(pin(keyed.mapInPandas(running, schema)), F.sum(weight), frame.columns)
+    return _add_offsets(staged(keyed.mapInPandas(running, schema), "ranged"), F.sum(weight), frame.columns)
 
 
 def _add_offsets(local: DataFrame, size, columns) -> DataFrame:

@@ -6,6 +6,8 @@ rounded to 12 decimals before ranking, which makes ties (equal vectors) exact an
 independent of how the rows were split; ties go to the lower id.
 """
 
+from math import sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -100,7 +102,7 @@ def retrieve(
 
     Queries whose matrix stays within ``broadcast_limit`` are shipped to every
     task of the store scan. More queries are cut into blocks that meet the
-    store's blocks in a shuffled join.
+    store's blocks in the cells of a balanced grid; both ways give the same rows.
     """
     _require_positive(k)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
@@ -144,15 +146,20 @@ def _block_join(store, queries, n_queries, k, block_rows):
     left = pin(_packed(queries, "query_id", query_blocks)).withColumnsRenamed(
         {"block": "query_block", "ids": "query_ids", "vectors": "query_vectors"}
     )
-    salts = min(store_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A grid of groups x salts cells: query blocks are sent once per salt and store blocks
+    # once per group, and the two volumes are kept about equal.
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(query_blocks, max(1, round(sqrt(tasks * query_blocks / store_blocks))))
+    salts = min(store_blocks, max(1, -(-tasks // groups)))
+    left = left.withColumn("query_group", F.pmod("query_block", F.lit(groups)))
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = _packed(store, "fic_id", store_blocks).select(
         "ids",
         "vectors",
         F.pmod("block", F.lit(salts)).alias("salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("query_group"),
     )
-    met = left.join(right, ["query_block", "salt"]).select(
+    met = left.join(right, ["query_group", "salt"]).select(
         "query_block", "query_ids", "query_vectors", "ids", "vectors"
     )
 

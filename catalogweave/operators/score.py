@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..session import staged
 from .joins import lookup_join
 
 SCORED_KINDS = ("fandom", "relationship")
@@ -52,28 +53,11 @@ def batch_metadata(ids: DataFrame, core: DataFrame, tags: DataFrame) -> DataFram
     )
 
 
-def _tag_overlap(candidates: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per (query, candidate) and kind: tags shared with the query and tags of the candidate.
-
-    Sets are never gathered: both sides meet tag by tag and are counted, so a
-    work with very many tags costs rows, not memory.
-    """
-    queries = candidates.select("query_id").distinct()
-    of_query = tags.withColumnRenamed("fic_id", "query_id").join(queries, "query_id", "left_semi")
-    of_query = of_query.withColumn("shared", F.lit(1))
-    of_candidate = candidates.select("query_id", "fic_id").join(tags, "fic_id")
-    met = of_candidate.join(of_query, ["query_id", "kind", "tag"], "left")
-
-    def kind_counts(value, prefix):
-        return [
-            F.count(F.when(F.col("kind") == k, value)).alias(f"{prefix}_{k}") for k in SCORED_KINDS
-        ]
-
-    overlap = met.groupBy("query_id", "fic_id").agg(
-        *kind_counts(F.col("shared"), "shared"), *kind_counts(F.lit(1), "own")
+def scored_tags(tags: DataFrame) -> DataFrame:
+    """One row per work with its tags of each scored kind as a sorted set."""
+    return tags.where(F.col("kind").isin(*SCORED_KINDS)).groupBy("fic_id").agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("tag")))).alias(k) for k in SCORED_KINDS]
     )
-    sizes = of_query.groupBy("query_id").agg(*kind_counts(F.lit(1), "query"))
-    return overlap, sizes
 
 
 def score_candidates(
@@ -83,23 +67,26 @@ def score_candidates(
 
     ``tags`` is distinct (fic_id, kind, tag). A candidate without a core row
     counts as unpopular and untagged. Maxima span all works, not only candidates.
+    Each work's tags and counts are brought into one row once; that row meets the
+    candidates and the queries, and works that are candidates of very many queries
+    are salted (``lookup_join``).
     """
-    tags = tags.where(F.col("kind").isin(*SCORED_KINDS))
-    overlap, query_sizes = _tag_overlap(candidates, tags)
+    of_work = staged(scored_tags(tags).join(core.select("fic_id", "kudos", "bookmarks"), "fic_id", "full"), "scored-works")
+    of_query = of_work.select(F.col("fic_id").alias("query_id"), *[F.col(k).alias(f"query_{k}") for k in SCORED_KINDS])
     if maxima is None:
         maxima = max_popularity(core)
     top = maxima.select(F.struct("max_kudos", "max_bookmarks")).scalar()
-    joined = (
-        candidates.join(core.select("fic_id", "kudos", "bookmarks"), "fic_id", "left")
-        .join(overlap, ["query_id", "fic_id"], "left")
-        .join(query_sizes, "query_id", "left")
-    )
+    joined = lookup_join(candidates, of_work, ["fic_id"], how="left")
+    joined = lookup_join(joined, of_query, ["query_id"], how="left")
 
     def count(name):
         return F.coalesce(F.col(name), F.lit(0))
 
+    def size(tags):
+        return F.coalesce(F.size(tags), F.lit(0))
+
     jaccard = {
-        k: S.jaccard_from_counts(count(f"shared_{k}"), count(f"own_{k}"), count(f"query_{k}"))
+        k: S.jaccard_from_counts(size(F.array_intersect(k, f"query_{k}")), size(F.col(k)), size(F.col(f"query_{k}")))
         for k in SCORED_KINDS
     }
     popularity = S.popularity_score(

@@ -3,13 +3,17 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import INVALID_SCHEMA, REQUIRED_COLUMNS, STATUS_DOMAIN, TAG_KINDS
+from ..schemas import INVALID_SCHEMA, REQUIRED_COLUMNS, TAG_KINDS
 from ..session import staged
+from .clean import BAD_ROW
 
 
 def error_reason(frame: DataFrame) -> Column:
     """The first failed rule, or NULL for a valid row."""
-    reason = F.when(F.col("fic_id").isNull(), F.lit("Missing fic_id"))
+    reason = F.when(F.lit(False), F.lit(""))
+    if "fault" in frame.columns:  # nothing in a row of the wrong width can be trusted
+        reason = reason.when(F.col("fault") == BAD_ROW, F.lit(BAD_ROW))
+    reason = reason.when(F.col("fic_id").isNull(), F.lit("Missing fic_id"))
     if "fault" in frame.columns:
         reason = reason.when(F.col("fault").isNotNull(), F.col("fault"))
     for c in REQUIRED_COLUMNS:
@@ -20,10 +24,6 @@ def error_reason(frame: DataFrame) -> Column:
     return reason
 
 
-def in_status_domain(status: Column) -> Column:
-    return status.isNull() | status.isin(*STATUS_DOMAIN)
-
-
 def with_error(frame: DataFrame) -> DataFrame:
     return frame.withColumn("error", error_reason(frame))
 

@@ -7,7 +7,7 @@ from ..operators.embed import HashedTokenEncoder, embed_texts
 from ..operators.merge import replace_embeddings, upsert_embeddings
 from ..session import staged
 from ..sources.catalogue import read_table
-from ..sources.embeddings import as_store, read_embeddings, write_embeddings
+from ..sources.embeddings import as_store, merge_embeddings, write_embeddings
 
 
 def summaries(core: DataFrame) -> DataFrame:
@@ -38,5 +38,4 @@ def embed_catalogue(
     if replace:
         write_embeddings(replace_embeddings(fresh), store_path)
     else:
-        merged = upsert_embeddings(read_embeddings(spark, store_path), fresh)
-        write_embeddings(merged, store_path)
+        merge_embeddings(fresh, store_path, upsert_embeddings)

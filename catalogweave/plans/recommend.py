@@ -1,16 +1,16 @@
 """Which works are like this one: retrieve by similarity, then re-rank."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.retrieve import CANDIDATE_SCHEMA, retrieve, retrieve_vector
+from ..operators.retrieve import retrieve, retrieve_vector
 from ..operators.score import max_popularity, score_candidates
 from ..schemas import DEFAULT_RETRIEVAL_SIZE, DEFAULT_TOP_K
-from ..session import pin
-from ..sources.embeddings import get_embedding
+from ..session import pin, staged
+from ..sources.catalogue import read_part
+from ..sources.embeddings import get_embedding, read_embeddings
+from ..sources.manifest import current_snapshot
 
-# Up to this many candidates of a single query are held as literal rows.
-LITERAL_CANDIDATES = 10_000
 SCORE_DECIMALS = 12
 
 RESULT_COLUMNS = (
@@ -34,21 +34,31 @@ def recommend(
 ) -> DataFrame:
     """(rank, fic_id, score, components) for one work; ``KeyError`` when it has no vector."""
     _require_sizes(top_k, retrieval_size)
-    found = retrieve_vector(store, fic_id, get_embedding(store, fic_id), retrieval_size)
-    if retrieval_size <= LITERAL_CANDIDATES:
-        # A bounded handful of ids: as literals they reach the scans of core and
-        # tags as pushed-down IN filters.
-        rows = found.toArrow()
-        found = store.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA)
-        ids = [fic_id, *rows.column("fic_id").to_pylist()]
-        tags = pin(tags.where(F.col("fic_id").isin(*ids)))
-        popular = core.where(F.col("fic_id").isin(*ids))
-    else:
-        found, popular = pin(found), core
-    scored = score_candidates(found, popular, tags, weights, maxima=max_popularity(core))
+    found = staged(retrieve_vector(store, fic_id, get_embedding(store, fic_id), retrieval_size), "found")
+    # A stored table of at most ``retrieval_size`` ids: Spark knows its size and broadcasts it when it may.
+    asked = store.sparkSession.range(fic_id, fic_id + 1).select(F.col("id").alias("fic_id"))
+    ids = found.select("fic_id").union(asked)
+    few_tags, few_works = tags.join(ids, "fic_id", "left_semi"), core.join(ids, "fic_id", "left_semi")
+    scored = score_candidates(found, few_works, few_tags, weights, maxima=max_popularity(core))
     return rank_results(scored, top_k).drop("query_id")
 
 
+def recommend_from(
+    spark: SparkSession,
+    root: str,
+    store_path: str,
+    fic_id: int,
+    top_k: int = DEFAULT_TOP_K,
+    retrieval_size: int = DEFAULT_RETRIEVAL_SIZE,
+    weights: dict | None = None,
+) -> DataFrame:
+    """``recommend`` over the published catalogue at ``root`` and the vectors at ``store_path``."""
+    snapshot = current_snapshot(spark, root)
+    pairs = read_part(spark, snapshot, "pairs").withColumnRenamed("id", "tag")
+    core = read_part(spark, snapshot, "core")
+    return recommend(read_embeddings(spark, store_path), core, pairs, fic_id, top_k, retrieval_size, weights)
+
+
 def recommend_batch(
     store: DataFrame,
     core: DataFrame,

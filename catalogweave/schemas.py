@@ -68,7 +68,6 @@ REQUIRED_COLUMNS = (
     "rating",
 )
 STATUS_DOMAIN = ("completed", "on_going")
-RATING_TYPES = ("disliked", "liked", "loved")
 
 # --- fixed values: tag tables, per kind: dictionary, pairs, id and value column -----
 TAG_TABLES = {
@@ -113,12 +112,6 @@ WORKS_PER_LISTING_PAGE = 20
 # The six dictionaries share one table and the six pair tables another, both
 # partitioned by ``kind``; readers prune to the kind they ask for.
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
-RAW_SCHEMA = T.StructType(
-    [
-        T.StructField(c, T.ArrayType(T.StringType()) if c in TAG_KINDS else T.StringType())
-        for c in RAW_COLUMNS
-    ]
-)
 DICTIONARY_SCHEMA = T.StructType(
     [
         T.StructField("id", T.IntegerType()),
@@ -155,13 +148,3 @@ PAGE_SCHEMA = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
-# Declared by the data model; no operator reads or writes it.
-BEHAVIOUR_SCHEMA = T.StructType(
-    [
-        T.StructField("fic_id", T.LongType(), False),
-        T.StructField("chapters_read", T.IntegerType(), False),
-        T.StructField("completed", T.BooleanType(), False),
-        T.StructField("return_visits", T.IntegerType(), False),
-        T.StructField("ratings", T.StringType()),
-    ]
-)

@@ -1,10 +1,19 @@
-"""Session construction, shared scratch space and lineage cuts."""
+"""Session construction, shared scratch space and lineage cuts.
 
+The few calls into Spark's gateway (plan statistics, the Hadoop file system) are all in this
+module; a Spark Connect session would need them replaced here only.
+"""
+
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[str | None] = ContextVar("scratch-scope", default=None)
 
 SPREAD_BYTES_PER_CORE = 32 << 20
 
@@ -41,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="catalogweave-")
     if context.getCheckpointDir() is None:
@@ -51,7 +60,60 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for one intermediate table."""
-    return f"{shared_folder(spark).rstrip('/')}/catalogweave/{name}-{uuid.uuid4().hex}"
+    scope = _scope.get() or f"{shared_folder(spark).rstrip('/')}/catalogweave"
+    return f"{scope}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str):
+    """Intermediate tables staged inside are dropped at the end, so a stream leaves none behind.
+
+    Results that are still read afterwards have to be stored or fetched before.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/catalogweave/{name}-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path, files = _file_system(spark, folder)
+        files.delete(path, True)
+
+
+def _file_system(spark: SparkSession, location: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def create_file(spark: SparkSession, location: str, text: str) -> None:
+    """Write a small new file; ``FileExistsError`` when somebody else has written it already.
+
+    The file system's create-if-absent decides, which is atomic on HDFS and POSIX folders.
+    """
+    path, files = _file_system(spark, location)
+    try:
+        out = files.create(path, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName() or files.exists(path):
+            raise FileExistsError(location) from None
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def plan_text(frame: DataFrame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().treeString()
+
+
+def estimated_bytes(frame: DataFrame) -> int:
+    """Catalyst's size estimate of the frame's result."""
+    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def pin(frame: DataFrame) -> DataFrame:

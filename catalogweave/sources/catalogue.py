@@ -2,14 +2,15 @@
 
 Physically there are three tables of immutable parts named by a manifest.
 Dictionaries and pairs only ever grow: a new snapshot reuses their parts and adds
-one more, so a load never rewrites what is already stored.
+one more. The core table is kept in buckets of ``fic_id``; a load rewrites the buckets
+that hold one of its works and reuses the folders of all others.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CORE_SCHEMA, CORE_TABLE, DICTIONARY_SCHEMA, PAIR_SCHEMA, TAG_TABLES
-from .manifest import current_snapshot, new_folder, publish, read_parts
+from .manifest import current_snapshot, new_folder, publish, read_parts, write_buckets
 
 _SCHEMAS = {"core": CORE_SCHEMA, "dictionary": DICTIONARY_SCHEMA, "pairs": PAIR_SCHEMA}
 
@@ -38,22 +39,43 @@ def read_dictionary(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return read_table(spark, root, TAG_TABLES[kind][0])
 
 
+PART_SLICES = 8  # files per kind of a new part, at most
+MOST_PARTS = 32  # parts of a table from which a load compacts it
+
+
+def write_core(frame: DataFrame, root: str) -> list[str]:
+    """Write core rows under fresh bucket folders and return the folders."""
+    return list(write_buckets(frame.select(*CORE_SCHEMA.fieldNames()), "fic_id", root, "core").values())
+
+
 def write_part(frame: DataFrame, root: str, name: str) -> str:
-    """Write one new part of a table under a fresh folder and return the folder."""
+    """Write one new part of the dictionary or the pairs under a fresh folder and return the folder.
+
+    Rows are dealt by kind and a hash first, so a part is a few files per kind, however many tasks made it.
+    """
     folder = new_folder(root, name)
-    writer = frame.select(*_SCHEMAS[name].fieldNames()).write
-    if name != "core":
-        writer = writer.partitionBy("kind")
-    writer.parquet(folder)
+    rows = frame.select(*_SCHEMAS[name].fieldNames())
+    slice_of = F.pmod(F.xxhash64(*rows.columns), F.lit(PART_SLICES))
+    rows.repartition("kind", slice_of).write.partitionBy("kind").parquet(folder)
     return folder
 
 
 def compact(spark: SparkSession, root: str) -> dict:
-    """Rewrite the many small parts left by many loads as one part per table."""
+    """Rewrite the many small parts left by many loads as one part per table; core has one folder per bucket anyway."""
     snapshot = current_snapshot(spark, root)
-    order = {"core": ["fic_id"], "dictionary": ["kind", "id"], "pairs": ["kind", "fic_id", "id"]}
-    parts = {}
-    for name, folders in snapshot["parts"].items():
-        rows = read_part(spark, snapshot, name).repartitionByRange(*order[name])
-        parts[name] = [write_part(rows.sortWithinPartitions(*order[name]), root, name)] if folders else []
+    order = {"dictionary": ["kind", "id"], "pairs": ["kind", "fic_id", "id"]}
+    parts = dict(snapshot["parts"])
+    for name, keys in order.items():
+        if len(parts.get(name, [])) > 1:
+            rows = read_part(spark, snapshot, name).repartitionByRange(*keys).sortWithinPartitions(*keys)
+            folder = new_folder(root, name)
+            rows.write.partitionBy("kind").parquet(folder)
+            parts[name] = [folder]
     return publish(spark, root, snapshot, parts)
+
+
+def compact_when_many(spark: SparkSession, root: str, most: int = MOST_PARTS) -> None:
+    """Compact once a table has more than ``most`` parts."""
+    parts = current_snapshot(spark, root)["parts"]
+    if max((len(parts.get(name, [])) for name in ("dictionary", "pairs")), default=0) > most:
+        compact(spark, root)

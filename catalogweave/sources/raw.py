@@ -1,4 +1,11 @@
-"""Raw works: text records scanned from CSV or Parquet, and appended to either."""
+"""Raw works: text records scanned from CSV or Parquet, and appended to either.
+
+CSV columns are taken by the names in each file's header, in any order; absent ones are NULL
+and unknown ones are ignored. A row with more or fewer cells than its header is marked
+``bad_row``, which validation turns into a rejected row.
+"""
+
+import csv
 
 from datetime import datetime, timezone
 
@@ -8,18 +15,28 @@ from pyspark.sql import types as T
 
 from ..functions.lists import list_text
 from ..functions.text import na_to_null
-from ..schemas import INVALID_SCHEMA, NA_TOKENS, RAW_COLUMNS, RAW_TEXT_SCHEMA
+from ..operators.clean import BAD_ROW
+from ..operators.joins import lookup_join
+from ..schemas import INVALID_SCHEMA, NA_TOKENS, RAW_COLUMNS
 
 # Where a row came from. Captured at the scan, before anything is shuffled;
 # (file, block, position) sorts rows in file order.
 ORIGIN_COLUMNS = ("src_file", "src_block", "src_pos")
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_OPTIONS = {
+    "header": "true",
+    "multiLine": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+_CORRUPT = "_corrupt_row"
 
 
 def with_origin(scan: DataFrame) -> DataFrame:
     return scan.select(
-        *scan.columns,
+        *[c for c in scan.columns if c != "_metadata"],
         F.col("_metadata.file_path").alias("src_file"),
         F.col("_metadata.file_block_start").alias("src_block"),
         F.monotonically_increasing_id().alias("src_pos"),
@@ -27,30 +44,66 @@ def with_origin(scan: DataFrame) -> DataFrame:
 
 
 def read_raw_works(
-    spark: SparkSession, path: str, file_format: str = "csv", na_tokens=NA_TOKENS
+    spark: SparkSession,
+    path: str | list[str],
+    file_format: str = "csv",
+    na_tokens=NA_TOKENS,
+    header: list[str] | None = None,
 ) -> DataFrame:
-    """Raw works as text columns plus their origin.
+    """Raw works as text columns, ``bad_row`` and their origin.
 
     Every column is read as text, nothing is inferred; ``na_tokens`` become
     NULL. A CSV file with line breaks inside fields cannot be split, so one file
     is one task: large crawls should be appended as many files, or as Parquet.
+    ``header`` names the columns of CSV files whose header is known to be the same;
+    otherwise one pass over the raw lines looks for the header of every file.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if file_format == "csv":
-        scan = reader.options(**CSV_OPTIONS).schema(RAW_TEXT_SCHEMA).csv(path)
+        groups = [(header, path)] if header else csv_headers(spark, path)
+        scans = [_csv_scan(reader, names, files) for names, files in groups]
+        scan = scans[0]
+        for more in scans[1:]:
+            scan = scan.unionByName(more)
     else:
         scan = reader.format(file_format).load(path)
-        scan = scan.select(
-            *[
-                _as_text(scan, c).alias(c) if c in scan.columns else F.lit(None).cast("string").alias(c)
-                for c in RAW_COLUMNS
-            ],
-            "_metadata",
-        )
-    origin = with_origin(scan)
-    return origin.select(
-        *[na_to_null(F.col(c), na_tokens).alias(c) for c in RAW_COLUMNS], *ORIGIN_COLUMNS
+        scan = with_origin(scan.select(*_by_name(scan), F.lit(False).alias(BAD_ROW), "_metadata"))
+    return scan.select(*[na_to_null(F.col(c), na_tokens).alias(c) for c in RAW_COLUMNS], BAD_ROW, *ORIGIN_COLUMNS)
+
+
+def csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of the CSV files under ``path``, one entry per different header.
+
+    The header is the first line of a file. One line per file reaches the driver, which
+    lists the files anyway.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    first = (
+        lines.where("_metadata.file_block_start = 0")
+        .select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("header"))
     )
+    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files")
+    found = [(next(csv.reader([r["header"]]), []), list(r["files"])) for r in grouped.collect()]
+    return found or [(list(RAW_COLUMNS), path)]
+
+
+def _csv_scan(reader, header: list[str], files) -> DataFrame:
+    """One scan of files with the same header, reduced to the raw columns by name."""
+    names = [n.strip().lstrip("\ufeff").lower() for n in header]
+    # A name's first column counts; blank and repeated names get placeholders.
+    unique = [n if n and n not in names[:k] else f"_unnamed_{k}" for k, n in enumerate(names)]
+    fields = [T.StructField(n, T.StringType()) for n in (*unique, _CORRUPT)]
+    options = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    scan = reader.options(**options).schema(T.StructType(fields)).csv(files)
+    return with_origin(scan.select(*_by_name(scan), F.col(_CORRUPT).isNotNull().alias(BAD_ROW), "_metadata"))
+
+
+def _by_name(scan: DataFrame) -> list:
+    return [
+        _as_text(scan, c).alias(c) if c in scan.columns else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS
+    ]
 
 
 def _as_text(scan: DataFrame, column: str):
@@ -62,11 +115,15 @@ def _as_text(scan: DataFrame, column: str):
 def append_raw_works(
     works: DataFrame,
     path: str,
-    file_format: str = "csv",
+    file_format: str = "parquet",
     batch: str | None = None,
     rows_per_file: int = 1_000_000,
 ) -> None:
-    """Append records under ``path``; batches sort by name, so later ones count as later rows."""
+    """Append records under ``path``; batches sort by name, so later ones count as later rows.
+
+    Parquet is the default because it can be split; CSV keeps every character, also outer
+    white space, quotes and line breaks, but one file is one task for its readers.
+    """
     batch = batch or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     target = f"{path.rstrip('/')}/batch-{batch}"
     columns = []
@@ -80,11 +137,12 @@ def append_raw_works(
         writer.format(file_format).save(target)
 
 
-def number_rows(works: DataFrame) -> DataFrame:
-    """Add ``row_number``, counted from 0 inside each source file.
+def number_rows(works: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Add ``row_number``, counted from 0 inside each source file, to ``wanted`` rows (or all).
 
     Only one (first position, row count) record per scan block is needed to
-    turn scan positions into row numbers, so no row is sorted or moved.
+    turn scan positions into row numbers, so no row is sorted. The records are few:
+    they are broadcast when that is known to be safe, or met with salted keys.
     """
     blocks = works.groupBy("src_file", "src_block").agg(
         F.min("src_pos").alias("first_pos"), F.count("*").alias("n")
@@ -97,7 +155,8 @@ def number_rows(works: DataFrame) -> DataFrame:
         "src_block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_pos")).alias("shift"),
     )
-    return works.join(starts, ["src_file", "src_block"]).withColumn(
+    rows = works if wanted is None else wanted
+    return lookup_join(rows, starts, ["src_file", "src_block"]).withColumn(
         "row_number", F.col("src_pos") + F.col("shift")
     )
 

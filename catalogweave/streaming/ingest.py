@@ -1,13 +1,11 @@
 """Follow a raw directory that grows while the crawl runs."""
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import na_to_null
 from ..plans.load import load_frame
-from ..schemas import NA_TOKENS, RAW_COLUMNS, RAW_TEXT_SCHEMA
-from ..sources.raw import CSV_OPTIONS, ORIGIN_COLUMNS
+from ..schemas import NA_TOKENS
+from ..sources.raw import read_raw_works
 
 
 def start_ingest(
@@ -22,33 +20,28 @@ def start_ingest(
     """Load every new raw CSV file into the catalogue, one micro-batch at a time.
 
     Loads are keyed upserts, so a batch that is replayed after a failure changes
-    nothing. The default trigger works off what is there and stops.
+    nothing. The default trigger works off what is there and stops. The stream only
+    finds the files (their content is not read by it); each batch of at most
+    ``files_per_batch`` files is then scanned by header name like any other load.
     """
     files = (
-        spark.readStream.options(**CSV_OPTIONS)
-        .schema(RAW_TEXT_SCHEMA)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(raw_path)
-    )
-    rows = files.select(
-        *[na_to_null(F.col(c), na_tokens).alias(c) for c in RAW_COLUMNS],
-        F.col("_metadata.file_path").alias("src_file"),
-        F.col("_metadata.file_block_start").alias("src_block"),
+        .load(raw_path)
+        .select("path")
     )
 
     def load(batch, batch_id):
-        placed = batch.withColumn("src_pos", F.monotonically_increasing_id())
         session = batch.sparkSession
-        load_frame(
-            session,
-            placed.select(*RAW_COLUMNS, *ORIGIN_COLUMNS),
-            root,
-            invalid_path=f"{root.rstrip('/')}/invalid/batch-{batch_id:012d}",
-        )
+        paths = sorted(r["path"] for r in batch.distinct().collect())
+        if paths:
+            raw = read_raw_works(session, paths, "csv", na_tokens)
+            load_frame(session, raw, root, invalid_path=f"{root.rstrip('/')}/invalid/batch-{batch_id:012d}")
 
     return (
-        rows.writeStream.foreachBatch(load)
+        files.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -14,7 +14,7 @@ from .inputs import CLEAN_WORKS_SQL, raw_works
 def _raw_files(spark, sf_dir):
     path = scratch_path(spark, "raw")
     ordered = raw_works(spark, sf_dir).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
-    append_raw_works(ordered.select(*RAW_COLUMNS), path)
+    append_raw_works(ordered.select(*RAW_COLUMNS), path, "csv")
     return path
 
 
@@ -93,6 +93,7 @@ ORACLES = {
         SELECT 'read' AS stage, 'rows' AS metric, count(*) AS value FROM judged
         UNION ALL SELECT 'validate', 'valid', count(*) FROM judged WHERE error IS NULL
         UNION ALL SELECT 'validate', 'invalid', count(*) FROM judged WHERE error IS NOT NULL
+        UNION ALL SELECT 'clean', 'unreadable_dates', count(*) FROM judged WHERE last_date IS NULL
         UNION ALL SELECT 'normalize', 'duplicates', count(*) - (SELECT count(*) FROM firsts) FROM judged WHERE error IS NULL
         UNION ALL SELECT 'normalize', 'unique', count(*) FROM firsts
         UNION ALL SELECT 'core', 'rows', count(*) FROM firsts

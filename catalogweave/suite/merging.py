@@ -6,6 +6,7 @@ from ..operators.merge import merge_dictionary, merge_pairs, upsert_embeddings,
 from ..operators.normalize import assign_ids
 from ..operators.quality import check_catalogue, empty_pair_tables
 from ..operators.retrieve import missing_queries
+from ..schemas import TAG_KINDS
 from ..sources.embeddings import as_store
 from .inputs import table, vectors
 from .tagging import document_tokens
@@ -93,17 +94,19 @@ def queries_without_vector(spark, sf_dir):
 
 
 def _flawed_catalogue(spark, sf_dir):
+    """A catalogue that breaks every check, for every kind of tag: orders are dealt to the kinds."""
+    customer, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     core = _core(
-        table(spark, sf_dir, "customer"),
-        fic_id=F.col("c_custkey"), url=F.col("c_name"), words=F.col("c_nationkey"),
+        customer,
+        fic_id=F.when(F.col("c_nationkey") > 3, key - key % 3), url=F.col("c_name"), words=F.col("c_nationkey"),
         name=F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")),
     )
-    dictionary = table(spark, sf_dir, "nation").select(
-        F.lit("fandom").alias("kind"), F.col("n_regionkey").alias("id"), F.col("n_name").alias("value")
-    )
-    pairs = table(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") + SHIFT).alias("fic_id"), F.lit("freeform").alias("kind"), F.year("o_orderdate").alias("id")
+    kind = F.get(F.array(*[F.lit(k) for k in TAG_KINDS]), (F.col("o_orderkey") % len(TAG_KINDS)).cast("int"))
+    orders = table(spark, sf_dir, "orders").withColumn("kind", kind)
+    dictionary = orders.select(
+        "kind", (F.col("o_orderkey") / 4).cast("int").alias("id"), F.concat("o_orderstatus", F.col("o_custkey").cast("string")).alias("value")
     )
+    pairs = orders.select((F.col("o_custkey") + SHIFT).alias("fic_id"), "kind", F.year("o_orderdate").alias("id"))
     return core, dictionary, pairs
 
 
@@ -112,7 +115,7 @@ def quality_report(spark, sf_dir):
 
 
 def empty_tables(spark, sf_dir):
-    return empty_pair_tables(_flawed_catalogue(spark, sf_dir)[2])
+    return empty_pair_tables(_flawed_catalogue(spark, sf_dir)[2].where("kind IN ('freeform', 'fandom')"))
 
 
 QUERIES = {
@@ -170,16 +173,17 @@ ORACLES = {
     "missing_queries": """SELECT p_partkey AS query_id FROM part
         WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)""",
     "quality_report": f"""
-        SELECT 'id_not_null' AS check, 'fics' AS table, 0::BIGINT AS violations
-        UNION ALL SELECT 'required_not_null', 'fics', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'
-        UNION ALL SELECT 'id_unique', 'fics', count(*) - count(DISTINCT c_custkey) FROM customer
-        UNION ALL SELECT 'work_exists', stem || '_join', CASE WHEN kind = 'freeform' THEN
-            (SELECT count(*) FROM orders WHERE o_custkey + {SHIFT} NOT IN (SELECT c_custkey FROM customer)) ELSE 0 END FROM {_KINDS}
-        UNION ALL SELECT 'pair_unique', stem || '_join', CASE WHEN kind = 'freeform' THEN
-            (SELECT count(*) - count(DISTINCT (o_custkey, year(o_orderdate))) FROM orders) ELSE 0 END FROM {_KINDS}
-        UNION ALL SELECT 'entry_unique', stem || '_value', 0 FROM {_KINDS}
-        UNION ALL SELECT 'dictionary_id_unique', stem || '_value', CASE WHEN kind = 'fandom' THEN
-            (SELECT count(*) - count(DISTINCT n_regionkey) FROM nation) ELSE 0 END FROM {_KINDS}""",
+        WITH k AS (SELECT *, row_number() OVER () - 1 AS at FROM {_KINDS}),
+        c AS (SELECT CASE WHEN c_nationkey > 3 THEN c_custkey - c_custkey % 3 END AS fic_id, c_mktsegment FROM customer),
+        o AS (SELECT k.kind, k.stem, o_custkey + {SHIFT} AS fic_id, year(o_orderdate) AS year, o_orderkey // 4 AS id,
+                     o_orderstatus || o_custkey AS value FROM orders JOIN k ON k.at = o_orderkey % 6)
+        SELECT 'id_not_null' AS check, 'fics' AS table, count(*) AS violations FROM c WHERE fic_id IS NULL
+        UNION ALL SELECT 'required_not_null', 'fics', count(*) FROM c WHERE c_mktsegment = 'BUILDING'
+        UNION ALL SELECT 'id_unique', 'fics', count(fic_id) - count(DISTINCT fic_id) FROM c
+        UNION ALL SELECT 'work_exists', stem || '_join', count(*) FILTER (fic_id NOT IN (SELECT fic_id FROM c WHERE fic_id IS NOT NULL)) FROM o GROUP BY stem
+        UNION ALL SELECT 'pair_unique', stem || '_join', count(*) - count(DISTINCT (fic_id, year)) FROM o GROUP BY stem
+        UNION ALL SELECT 'entry_unique', stem || '_value', count(*) - count(DISTINCT value) FROM o GROUP BY stem
+        UNION ALL SELECT 'dictionary_id_unique', stem || '_value', count(*) - count(DISTINCT id) FROM o GROUP BY stem""",
     "empty_pair_tables": f"""SELECT 'not_empty' AS check, stem || '_join' AS table,
-        CASE WHEN kind = 'freeform' THEN 0 ELSE 1 END::BIGINT AS violations FROM {_KINDS}""",
+        CASE WHEN kind IN ('freeform', 'fandom') THEN 0 ELSE 1 END::BIGINT AS violations FROM {_KINDS}""",
 }

@@ -9,7 +9,7 @@ from ..functions.scores import (
     popularity_score,
 )
 from ..functions.text import format_score, vector_prefix
-from ..operators.normalize import assign_ids, encode_tags
+from ..operators.normalize import assign_ids, count_tags, encode_tags
 from ..operators.pairwise import pairwise_similarity
 from ..operators.retrieve import retrieve, retrieve_vector
 from ..operators.score import batch_metadata, max_popularity, score_candidates, tag_sets
@@ -89,8 +89,9 @@ def weighted_score_components(spark, sf_dir):
 
 def collect_tag_sets(spark, sf_dir):
     tags = part_tags(spark, sf_dir).withColumnRenamed("tag", "value")
-    dictionary = assign_ids(tags)
-    pairs = encode_tags(tags, dictionary)
+    counts = count_tags(tags)
+    dictionary = assign_ids(counts)
+    pairs = encode_tags(tags, dictionary, counts)
     fandoms = tag_sets(pairs, dictionary, "fandom").withColumnRenamed("values", "fandoms")
     related = tag_sets(pairs, dictionary, "relationship").withColumnRenamed("values", "related")
     return fandoms.join(related, "fic_id", "left").select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import vector_prefix
 from ..operators.embed import HashedTokenEncoder, embed_texts
-from ..operators.normalize import assign_ids, build_vocabulary, encode_tags, lookup_and_pairs
+from ..operators.normalize import assign_ids, build_vocabulary, count_tags, encode_tags, lookup_and_pairs
 from ..plans.embed import embed_works
 from ..session import scratch_path, spread
 from ..sources.embeddings import as_store, read_embeddings, write_embeddings
@@ -28,7 +28,8 @@ def vocabulary_ids(spark, sf_dir):
 
 def encoded_pairs(spark, sf_dir):
     tokens = document_tokens(spark, sf_dir)
-    return encode_tags(tokens, assign_ids(tokens))
+    counts = count_tags(tokens)
+    return encode_tags(tokens, assign_ids(counts), counts)
 
 
 def part_lookup(spark, sf_dir):
@@ -66,7 +67,7 @@ def store_roundtrip(spark, sf_dir):
 
 
 def embedded_questions(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    turns = table(spark, sf_dir, "conversations")
     keyed = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("fic_id"), F.col("text").alias("summary"))
     return _summary(embed_texts(keyed, lambda: HashedTokenEncoder(16)))
 
@@ -114,7 +115,7 @@ ORACLES = {
         SELECT fic_id, dense_rank() OVER (ORDER BY freeform)::INT AS freeform_id, freeform FROM words""",
     "embed_text": _embedding_sql("SELECT doc_id AS fic_id, text FROM documents", 64),
     "embed_text_small": _embedding_sql(
-        "SELECT conv_id * 1000 + turn AS fic_id, text FROM conversations WHERE role = 'user'", 16
+        "SELECT conv_id * 1000 + turn AS fic_id, text FROM conversations", 16
     ),
     "embedding_store_roundtrip": """
         SELECT vec_id AS fic_id, 'given' AS model_name, len(embedding)::INT AS dim,

@@ -1,4 +1,6 @@
 import csv
+import os
+from contextlib import contextmanager
 
 import pytest
 
@@ -6,12 +8,14 @@ import catalogweave.plans.load as load_plan
 from catalogweave.operators.embed import HashedTokenEncoder
 from catalogweave.operators.quality import empty_pair_tables
 from catalogweave.plans.embed import embed_catalogue
-from catalogweave.plans.load import LoadRejected, load_works
-from catalogweave.plans.recommend import recommend
+from catalogweave.plans.load import LoadRejected, check_published, load_works
+from catalogweave.plans.recommend import recommend, recommend_from
 from catalogweave.schemas import RAW_COLUMNS, TAG_TABLES
-from catalogweave.sources.catalogue import compact, read_dictionary, read_part, read_table
+from catalogweave.session import scratch_scope
+from catalogweave.sources.catalogue import compact, compact_when_many, read_dictionary, read_part, read_table
 from catalogweave.sources.embeddings import read_embeddings
-from catalogweave.sources.manifest import current_snapshot
+from catalogweave.sources.manifest import PublishConflict, current_snapshot, publish
+from catalogweave.sources.raw import append_raw_works, read_raw_works
 from catalogweave.streaming.ingest import start_ingest
 
 BASE = {
@@ -115,7 +119,9 @@ def test_reload_second_load_and_compaction(spark, loaded):
     grown = contents(spark, root)
     compact(spark, root)
     assert contents(spark, root) == grown
-    assert all(len(p) == 1 for p in current_snapshot(spark, root)["parts"].values())
+    parts = current_snapshot(spark, root)["parts"]
+    assert len(parts["dictionary"]) == len(parts["pairs"]) == 1
+    assert check_published(spark, root).where("violations > 0").count() == 0
 
 
 def test_failed_check_leaves_the_published_catalogue(spark, tmp_path, monkeypatch):
@@ -152,3 +158,85 @@ def test_embed_and_recommend_from_a_catalogue(spark, loaded, tmp_path):
     got = recommend(read_embeddings(spark, path), works, pairs, 101, top_k=3).collect()
     assert [r.rank for r in got] == [1, 2, 3] and got[0].sim == 1.0
     assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+    again = recommend_from(spark, root, path, 101, top_k=3).collect()
+    assert [(r.rank, r.fic_id, r.score) for r in again] == [(r.rank, r.fic_id, r.score) for r in got]
+
+
+def test_second_publisher_fails(spark, tmp_path):
+    root = str(tmp_path / "catalogue")
+    first = second = current_snapshot(spark, root)
+    publish(spark, root, first, {"core": ["a"]})
+    with pytest.raises(PublishConflict):
+        publish(spark, root, second, {"core": ["b"]})
+    assert current_snapshot(spark, root) == {"version": 1, "parts": {"core": ["a"]}}
+
+
+def test_manifest_without_a_complete_entry_is_empty(spark, tmp_path):
+    (tmp_path / "manifest").mkdir()
+    assert current_snapshot(spark, str(tmp_path))["version"] == 0
+    (tmp_path / "manifest" / "000000000001.json").touch()
+    assert current_snapshot(spark, str(tmp_path)) == {"version": 0, "parts": {}}
+
+
+def test_loads_leave_no_scratch_behind(spark, tmp_path, monkeypatch):
+    folders = []
+    monkeypatch.setattr(load_plan, "scratch_scope", lambda s, n: recorded(scratch_scope(s, n), folders))
+    load_works(spark, write_csv(tmp_path / "a.csv", GOLDEN), str(tmp_path / "catalogue"))
+    assert len(folders) == 1 and not os.path.exists(folders[0].removeprefix("file:"))
+
+
+@contextmanager
+def recorded(scope, folders):
+    with scope as folder:
+        folders.append(folder)
+        yield folder
+        assert os.path.exists(folder.removeprefix("file:"))
+
+
+def test_csv_by_header_name(spark, tmp_path):
+    """Another order, a byte order mark, an unknown and an absent column, and rows that are too short or long."""
+    (tmp_path / "a.csv").write_text('\ufeffurl,extra,title\nu1,x,"a ""b""\nc "\nu2\nu3,x,t,more\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("title,url,words\n t4 ,u4,7\n", encoding="utf-8")
+    rows = {r.url: r for r in read_raw_works(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["u1", "u2", "u3", "u4"]
+    assert rows["u1"].title == 'a "b"\nc ' and not rows["u1"].bad_row and rows["u1"].summary is None
+    assert rows["u2"].bad_row and rows["u3"].bad_row
+    assert rows["u4"].title == " t4 " and rows["u4"].words == "7" and not rows["u4"].bad_row
+
+
+def test_ragged_rows_are_rejected_as_such(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,words\nt1,5,https://host/works/1\n")
+    load_works(spark, str(tmp_path / "a.csv"), str(tmp_path / "catalogue"))
+    rows = spark.read.option("header", "true").csv(str(tmp_path / "catalogue" / "invalid")).collect()
+    assert [(r.row_number, r.error) for r in rows] == [("0", "bad_row")]
+
+
+def test_append_defaults_to_parquet(spark, tmp_path):
+    rows = spark.createDataFrame([{**work(1), "title": "  x  "}], read_raw_schema())
+    append_raw_works(rows, str(tmp_path / "raw"))
+    (row,) = read_raw_works(spark, str(tmp_path / "raw"), "parquet").collect()
+    assert row.title == "  x  " and row.fandom is not None
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    root = str(tmp_path / "catalogue")
+    load_works(spark, write_csv(tmp_path / "a.csv", [work(k) for k in range(1, 60)]), root)
+    before = set(current_snapshot(spark, root)["parts"]["core"])
+    load_works(spark, write_csv(tmp_path / "b.csv", [work(5, title="New"), work(1000)]), root)
+    after = set(current_snapshot(spark, root)["parts"]["core"])
+    assert len(after - before) == 2 and len(before - after) in (1, 2)
+    names = {r.fic_id: r.name for r in read_table(spark, root, "fics").collect()}
+    assert len(names) == 60 and names[5] == "New" and names[6] == "A Work"
+
+
+def test_many_loads_are_compacted(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "catalogue")
+    monkeypatch.setattr(load_plan, "compact_when_many", lambda spark, root: compact_when_many(spark, root, most=1))
+    for k in range(3):
+        load_works(spark, write_csv(tmp_path / f"{k}.csv", [work(k + 1, fandom=[f"F{k}"])]), root)
+    parts = current_snapshot(spark, root)["parts"]
+    assert len(parts["dictionary"]) == 1 and read_dictionary(spark, root, "fandom").count() == 3
+
+
+def read_raw_schema():
+    return ", ".join(f"`{c}` {'array<string>' if isinstance(BASE.get(c), list) else 'string'}" for c in RAW_COLUMNS)

@@ -8,7 +8,7 @@ from catalogweave.operators.merge import (
     upsert_embeddings,
     upsert_works,
 )
-from catalogweave.operators.quality import check_catalogue
+from catalogweave.operators.quality import check_catalogue, check_dictionary
 from catalogweave.schemas import CORE_SCHEMA, DICTIONARY_SCHEMA, PAIR_SCHEMA
 from catalogweave.sources.embeddings import (
     as_store,
@@ -111,3 +111,6 @@ def test_checks_count_violations(spark):
         ("pair_unique", "fandom_join"): 1,
         ("dictionary_id_unique", "fandom_value"): 1,
     }
+    twice = spark.createDataFrame([(1, "a", "fandom"), (2, "a", "fandom"), (1, "a", "category")], DICTIONARY_SCHEMA)
+    checks = check_dictionary(twice).where("violations > 0").collect()
+    assert [(r.check, r.table, r.violations) for r in checks] == [("entry_unique", "fandom_value", 1)]

@@ -14,7 +14,9 @@ from catalogweave.operators.normalize import (
     lookup_and_pairs,
     unknown_tags,
 )
+from catalogweave.operators.embed import embed_texts
 from catalogweave.operators.ranges import with_cumulative, with_position
+from catalogweave.session import pin, staged
 
 
 def test_positions_are_global_and_dense(spark):
@@ -102,3 +104,34 @@ def test_count_duplicates_with_nulls(spark):
 def test_explode_tags_drops_repeats_inside_a_work(spark):
     works = spark.createDataFrame([(1, ["a", "a"], None)], "fic_id bigint, fandom array<string>, warning array<string>")
     assert list(map(tuple, explode_tags(works, ["fandom", "warning"]).collect())) == [(1, "fandom", "a")]
+
+
+def test_checkpointed_frames_are_never_judged_small(spark):
+    """A checkpoint hides the exploding node below it and keeps the estimate from before."""
+    grown = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(2_999_999))).alias("id"))
+    assert not fits_broadcast(grown) and not fits_broadcast(pin(grown))
+    assert fits_broadcast(staged(spark.range(10).toDF("id"), "small"))
+    assert not fits_broadcast(staged(grown, "grown"))
+
+
+def test_encoder_is_built_once_per_worker(spark):
+    """Many tasks on few workers: constructions are counted through the vectors themselves."""
+
+    class Counting:
+        made = 0
+
+        def __init__(self):
+            import os
+
+            type(self).made += 1
+            self.mark = (float(os.getpid()), float(type(self).made))
+
+        def __call__(self, texts):
+            return [self.mark for _ in texts]
+
+    texts = spark.range(400).select(F.col("id").alias("fic_id"), F.lit("x").alias("summary")).repartition(40)
+    rows = [tuple(r.embedding) for r in embed_texts(texts, Counting).collect()]
+    by_worker = {}
+    for worker, number in rows:
+        by_worker.setdefault(worker, set()).add(number)
+    assert all(numbers == {1.0} for numbers in by_worker.values())
