@@ -12,8 +12,7 @@ share of equal samples of two fingerprints estimates it.
 
 Spark computes all samples of a term in one aggregation: a sample's state is one long, ln a
 in its upper bits and a tag of (w, t) in its lower 24, so a minimum is all there is to
-aggregate. The inverse distribution of Gamma(2, 1) is a table of ``QUANTILES`` values, between
-which c is interpolated.
+aggregate. The inverse distribution of Gamma(2, 1) is a table of ``QUANTILES`` values.
 
 The edited text of a document ends with the beginning of the next document. Positions in
 the order of ids come from a range-partitioned sort of ids alone; texts are shuffled by
@@ -34,8 +33,10 @@ from .common import stage
 SAMPLES = 64
 TAG_BITS = 24
 EMPTY = "f" * (TAG_BITS // 4)
-QUANTILES = 256  # a power of two: eight bits of a hash choose a quantile
+QUANTILES = 2048  # a power of two: eleven bits of a hash choose a quantile
+AT_ONCE = 16
 SEPARATORS = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def gamma_quantiles(shares: np.ndarray) -> np.ndarray:
@@ -54,61 +55,55 @@ def _constant(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
-def weighted_terms(rows: DataFrame, text: str) -> DataFrame:
-    """Replace ``text`` by (term, weight) rows: the hash of each word and its occurrences.
+def weighted_terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, term, log_weight): the hash of each word of a text and the logarithm of its occurrences.
 
-    Words are sorted within the row and runs are counted there, so nothing is shuffled. A
-    row without words gives one row with nulls.
+    Where the rows are partitioned by one of the keys already, counting needs no shuffle. A
+    text without words gives one row with nulls.
     """
-    kept = [c for c in rows.columns if c != text]
-    words = F.filter(F.split(F.lower(F.col(text)), SEPARATORS), lambda w: w != "")
-    hashed = rows.select(*kept, F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("terms"))
-    begins = F.filter(
-        F.transform(
-            F.arrays_zip("terms", F.concat(F.array(F.lit(None).cast("long")), F.col("terms")).alias("earlier")),
-            lambda pair, k: F.when(pair["terms"].isNotNull() & ~pair["terms"].eqNullSafe(pair["earlier"]), k),
-        ),
-        lambda k: k.isNotNull(),
-    )
-    runs = hashed.select(*kept, "terms", begins.alias("begins"))
-    # arrays_zip pads the shifted array; the last run ends with the terms.
-    ends = F.concat(F.slice("begins", F.lit(2), F.greatest(F.size("begins"), F.lit(1))), F.array(F.size("terms")))
-    pairs = F.arrays_zip("begins", ends.alias("ends"))
-    spread = runs.select(*kept, "terms", F.explode_outer(F.when(F.size("begins") > 0, pairs)).alias("run"))
-    return spread.select(
-        *kept,
-        F.get("terms", F.col("run.begins")).alias("term"),
-        F.ln((F.col("run.ends") - F.col("run.begins")).cast("double")).alias("log_weight"),
-    )
+    plain = F.trim(F.lower(F.col(text)), F.lit(SPACES))
+    words = rows.select(*keys, F.explode_outer(F.when(plain != "", F.split(plain, SEPARATORS))).alias("word"))
+    term = F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")
+    counted = words.groupBy(*keys, term).agg(F.count("word").alias("weight"))
+    return counted.select(*keys, "term", F.when(F.col("weight") > 0, F.ln(F.col("weight").cast("double"))).alias("log_weight"))
 
 
-def _sample(j: int, middles: Column, bounds: Column) -> Column:
-    """Order and tag of sample ``j`` of the columns term and log_weight, as one long."""
-    drawn = F.xxhash64("term", F.lit(j))
+def _sample(j: int, radii: Column, log_scales: Column) -> Column:
+    """Order and tag of sample ``j`` of a part of the columns term and log_weight, as one long; null without a term.
+
+    There is no condition around it: Spark shares subexpressions only outside of conditions.
+    """
+    drawn = F.xxhash64("term", "part", F.lit(j))
 
     def bits(at: int, width: int) -> Column:
         return F.shiftrightunsigned(drawn, at).bitwiseAND(F.lit((1 << width) - 1))
 
-    place = bits(8, 8).cast("int")
-    low, high = F.get(bounds, place), F.get(bounds, place + 1)
-    r, c = F.get(middles, bits(0, 8).cast("int")), low + (high - low) * ((bits(16, 12) + 0.5) / float(1 << 12))
-    b = bits(28, 12) / float(1 << 12)
+    r, log_c = F.get(radii, bits(0, 11).cast("int")), F.get(log_scales, bits(11, 11).cast("int"))
+    b = bits(22, 18) / float(1 << 18)
     t = F.floor(F.col("log_weight") / r + b)
-    log_a = F.ln(c) - r * (t - b) - r
+    log_a = log_c - r * (t - b) - r
     order = ((F.greatest(log_a, F.lit(-500.0)) + 512.0) * float(1 << 29)).cast("long")
     tag = bits(40, TAG_BITS).bitwiseXOR(t.bitwiseAND(F.lit((1 << TAG_BITS) - 1)))
-    return F.when(F.col("term").isNotNull(), F.shiftleft(order, TAG_BITS).bitwiseOR(tag))
+    return F.shiftleft(order, TAG_BITS).bitwiseOR(tag)
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``samples`` array of tags per group of ``keys`` from (term, log_weight) rows; -1 without terms."""
-    shares = np.arange(QUANTILES)
-    middles = _constant(gamma_quantiles((shares + 0.5) / QUANTILES))
-    bounds = _constant(gamma_quantiles(np.append(shares / QUANTILES, 1 - 0.25 / QUANTILES)))
-    least = terms.groupBy(*keys).agg(*[F.min(_sample(j, middles, bounds)).alias(f"s{j}") for j in range(samples)])
+    """``samples`` array of tags per group of ``keys`` from (term, log_weight) rows; -1 without terms.
+
+    Samples are made in parts of ``AT_ONCE``: an aggregation with more of them is a method that
+    the virtual machine no longer compiles well.
+    """
+    quantiles = gamma_quantiles((np.arange(QUANTILES) + 0.5) / QUANTILES)
+    radii, log_scales = _constant(quantiles), _constant(np.log(quantiles))
+    parts = F.explode(F.array(*[F.lit(p) for p in range(-(-samples // AT_ONCE))])).alias("part")
+    spread = terms.select(*keys, "term", "log_weight", parts)
+    least = spread.groupBy(*keys, "part").agg(
+        *[F.min(_sample(j, radii, log_scales)).alias(f"s{j}") for j in range(AT_ONCE)]
+    )
     low = F.lit((1 << TAG_BITS) - 1)
-    tags = [F.coalesce(F.col(f"s{j}").bitwiseAND(low), F.lit(-1)).cast("int") for j in range(samples)]
-    return least.select(*keys, F.array(*tags).alias("samples"))
+    tags = [F.coalesce(F.col(f"s{j}").bitwiseAND(low), F.lit(-1)).cast("int") for j in range(AT_ONCE)]
+    whole = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", F.array(*tags).alias("tags")))).alias("parts"))
+    return whole.select(*keys, F.slice(F.flatten(F.col("parts.tags")), 1, samples).alias("samples"))
 
 
 def as_text(samples: Column) -> Column:
@@ -128,7 +123,8 @@ def fingerprint_documents(docs: DataFrame, key="doc_id", text="text", samples=SA
     """(doc_id, samples): one fingerprint per document."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    return signatures(weighted_terms(rows, "text"), ["row", "doc_id"], samples).select("doc_id", "samples")
+    keys = ["row", "doc_id"]
+    return signatures(weighted_terms(rows, keys, "text"), keys, samples).select("doc_id", "samples")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -174,17 +170,17 @@ def compared_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPL
     Columns: doc_id, n_chars, edited_sha256, samples, edited_samples, near_edited, near_next.
     """
     rows = edited_documents(docs, key, text)
-    facts = ["row", "doc_id", "n_chars", "next", "next_id", "edited_sha256"]
+    # Both branches name the same columns below the join of texts, so that they read the same shuffled texts.
+    keys = ["row", "doc_id", "next", "next_id"]
+    facts = rows.select(*keys, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).distinct()
     versions = F.array(
         F.struct(F.lit(0).alias("version"), F.col("text").alias("words")),
         F.struct(F.lit(1).alias("version"), F.col("edited").alias("words")),
     )
-    spread = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(
-        *facts, F.inline(versions)
-    )
+    spread = rows.select(*keys, F.inline(versions))
     # Grouped by the key that the rows are partitioned by already: no further shuffle.
-    signed = signatures(weighted_terms(spread, "words"), [*facts, "version"], samples)
-    signed = stage(signed, "signatures")
+    signed = signatures(weighted_terms(spread, [*keys, "version"], "words"), [*keys, "version"], samples)
+    signed = stage(signed.select("row", "version", "samples").join(facts, "row"), "signatures")
     own, edited = signed.where("version = 0"), signed.where("version = 1")
     plain = own.join(edited.select("row", F.col("samples").alias("edited_samples")), "row")
     following = own.select(F.col("row").alias("next"), F.col("samples").alias("next_samples"))
