@@ -122,7 +122,7 @@ def likeness(first: Column, second: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES) -> DataFrame:
     """(doc_id, samples): one fingerprint per document."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"])
     keys = ["row", "doc_id"]
     return signatures(weighted_terms(rows, keys, "text"), keys, samples).select("doc_id", "samples")
 
@@ -151,7 +151,7 @@ def edited_documents(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     sized = texts.select("doc_id", "row", F.char_length("text").cast("long").alias("n_chars"))
     ring = stage(neighbours(sized), "ring")
     half = F.floor(F.col("n_chars") / 2)
-    met = texts.join(ring, "row")  # rows that repeat id and text stay until they are grouped by their facts
+    met = texts.join(ring, "row")
     given = met.select(
         F.col("before").alias("row"),
         F.col("row").alias("next"),
@@ -169,10 +169,11 @@ def compared_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPL
 
     Columns: doc_id, n_chars, edited_sha256, samples, edited_samples, near_edited, near_next.
     """
-    rows = edited_documents(docs, key, text)
+    # Rows that repeat id and text have met in one partition, sorted by their key: dropping them moves nothing.
+    rows = edited_documents(docs, key, text).dropDuplicates(["row"])
     # Both branches name the same columns below the join of texts, so that they read the same shuffled texts.
     keys = ["row", "doc_id", "next", "next_id"]
-    facts = rows.select(*keys, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).distinct()
+    facts = rows.select(*keys, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     versions = F.array(
         F.struct(F.lit(0).alias("version"), F.col("text").alias("words")),
         F.struct(F.lit(1).alias("version"), F.col("edited").alias("words")),
