@@ -39,6 +39,27 @@ def stage_by(frame: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return staged
 
 
+def text_key(text: Column) -> Column:
+    """A name for a text by its content; a null text counts as an empty one."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def keep_one(docs: DataFrame, key: str, text: str, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``groups`` (text_key, component).
+
+    It is the row with the smallest id, rows without an id coming last and ties going by the
+    text. Rows that repeat an id in different texts are told apart by the text.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), text_key(F.col(text)).alias("text_key"))
+    # A name for (id, text) that is never null, so that rows without an id join like any other.
+    name = F.concat_ws(" ", "text_key", F.col("key").cast("string"))
+    best = F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("text_key"), name.alias("name")))
+    known = rows.select("key", "text_key").distinct().join(groups, "text_key")
+    kept = stage(known.groupBy("component").agg(best.alias("best")).select("best.name"), "kept-rows")
+    # Repeated rows are cut to one on the map side, before they meet the kept names.
+    return rows.withColumn("name", name).dropDuplicates(["name"]).join(kept, "name", "left_semi").select("doc.*")
+
+
 def remainder(key: Column, mod: int) -> Column:
     """crc32 of the key written as text, modulo ``mod``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % mod

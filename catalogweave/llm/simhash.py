@@ -46,19 +46,23 @@ CROWDED = 130  # candidate pairs per row of a value from which midpoints are che
 CHUNK = 1 << 16  # hashes counted at a time
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def spans(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The lower-cased words of a text, joined by spaces, with the starts and ends of their shingles."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        starts, ends = [0], [len(joined)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        stops = np.cumsum(lengths + 1) - 1
-        starts = (stops - lengths)[: len(words) - shingle + 1].tolist()
-        ends = stops[shingle - 1 :].tolist()
+        return joined, [0] * bool(words), [len(joined)] * bool(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    stops = np.cumsum(lengths + 1) - 1
+    starts = (stops - lengths)[: len(words) - shingle + 1].tolist()
+    return joined, starts, stops[shingle - 1 :].tolist()
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    joined, starts, ends = spans(text, shingle)
+    if not starts:
+        return 0
     digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, len(starts), CHUNK):
         part = zip(starts[at : at + CHUNK], ends[at : at + CHUNK])
