@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import keep_one, stage, text_key
 from .components import connected_components
 
 TOLERANCE = 2
@@ -232,12 +232,9 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", shingle=SHINGLE,
 
 
 def drop_near_duplicates(docs: DataFrame, key="doc_id", text="text", shingle=SHINGLE, tolerance=TOLERANCE) -> DataFrame:
-    """The rows of ``docs`` whose id names its component; of rows that repeat such an id, one.
-
-    Rows without an id all stay.
-    """
-    found = near_duplicates(docs, key, text, shingle, tolerance)
-    names = stage(found.where("doc_id = component_id").select("doc_id").distinct(), "kept-documents")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"))
-    kept = rows.join(names, F.col("key") == F.col("doc_id"), "left_semi").dropDuplicates(["key"])
-    return kept.unionByName(rows.where("key IS NULL")).select("doc.*")
+    """One row with an id for each component: the one with the smallest id. Rows without an id all stay."""
+    texts = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    found = near_duplicates(texts, "text_key", "text", shingle, tolerance)
+    groups = found.select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("component")).distinct()
+    kept = keep_one(docs.where(F.col(key).isNotNull()), key, text, groups)
+    return kept.unionByName(docs.where(F.col(key).isNull()))
