@@ -232,9 +232,8 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", shingle=SHINGLE,
 
 
 def drop_near_duplicates(docs: DataFrame, key="doc_id", text="text", shingle=SHINGLE, tolerance=TOLERANCE) -> DataFrame:
-    """One row with an id for each component: the one with the smallest id. Rows without an id all stay."""
+    """One row for each component: the one with the smallest id; a row without an id only where all lack one."""
     texts = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     found = near_duplicates(texts, "text_key", "text", shingle, tolerance)
     groups = found.select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("component")).distinct()
-    kept = keep_one(docs.where(F.col(key).isNotNull()), key, text, groups)
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    return keep_one(docs, key, text, stage(groups, "text-groups"))

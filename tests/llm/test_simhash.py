@@ -88,7 +88,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = simhash.drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(5) == 1 and ids.count(None) == 1 and 100 not in ids and 1 not in ids
+    assert ids.count(5) == 1 and None not in ids and 100 not in ids and 1 not in ids
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
