@@ -88,6 +88,16 @@ def label_sample(labels: DataFrame, key: str, label: str, limit: int) -> DataFra
     return known
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
+    """(sample_key, sample_label, sample_text): one row for each key of a ``label_sample`` that ``docs`` holds.
+
+    The sample is bounded, so it is broadcast. Of the rows that repeat a key the smallest text
+    counts, which is decided on the map side first: the bound on keys is one on rows.
+    """
+    known = docs.select(F.col(key).alias("sample_key"), F.col(text).alias("sample_text"))
+    return known.join(F.broadcast(sample), "sample_key").groupBy("sample_key", "sample_label").agg(F.min("sample_text").alias("sample_text"))
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, shared by all its tasks."""
     module = sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache"))

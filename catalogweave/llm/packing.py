@@ -45,6 +45,7 @@ def vocabulary_encoder(path: str):
 
     The file's vocabulary is numbered in merge order, so its ids are merge ranks and the
     ids equal those of the tokenizers library (see the tests), at several times the speed.
+    Added tokens in a text become their ids, as in the library with the file as loaded.
     """
     cache = worker_cache("bpe-json")
     if path not in cache:
@@ -54,13 +55,13 @@ def vocabulary_encoder(path: str):
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        special = {t["id"] for t in content.get("added_tokens", ())}
+        special = {t["content"]: t["id"] for t in content.get("added_tokens", ())}
         ranks = {
             bytes(alphabet[c] for c in token): rank
             for token, rank in content["model"]["vocab"].items()
-            if rank not in special
+            if token not in special
         }
-        cache[path] = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        cache[path] = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return cache[path]
 
 
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, key="doc_id", text="text", size=SEQU
         for batch in batches:
             rows, out = [], []
             for row, value in enumerate(batch.column("text")):
-                ids = encoder.encode_to_numpy(value.as_py() or "", disallowed_special=()).astype("<u4")
+                ids = encoder.encode_to_numpy(value.as_py() or "", allowed_special="all").astype("<u4")
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), size)):
                     rows.append(row)
@@ -154,20 +155,20 @@ def _pack(size: int, salt: int):
         used, bound = int(bins.max()) + 1, lower_bound(lengths, size)
         return group.assign(
             bin=bins, offset=offsets, part=int(key[0]), salt=salt, used=used, gap=used - bound
-        )[["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "part", "salt", "used", "gap"]]
+        )[["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "part", "salt", "used", "gap", "row"]]
 
     return pack
 
 
 def _dealt(short: DataFrame, count: int, salt: int, size: int, per_partition: int) -> DataFrame:
     parts = max(1, -(-count // per_partition))
-    deal = F.pmod(F.xxhash64("doc_id", "length", "ids_crc32", F.lit(salt)), F.lit(parts))
+    deal = F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts))  # by row, so copies spread like any others
     kind = short.schema["doc_id"].dataType
     schema = (
         "doc_id string, piece int, start long, length long, ids_crc32 long, bin long, offset long, "
-        "part long, salt int, used long, gap long"
+        "part long, salt int, used long, gap long, row long"
     )
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
     # Keys travel as text, because pandas would turn a column with nulls into floats.
     keyed = short.select(*columns, deal.cast("long").alias("deal")).withColumn("doc_id", F.col("doc_id").cast("string"))
     packed = keyed.groupBy("deal").applyInPandas(_pack(size, salt), schema)
@@ -176,7 +177,7 @@ def _dealt(short: DataFrame, count: int, salt: int, size: int, per_partition: in
 
 def pack(found: DataFrame, size=SEQUENCE, per_partition=PER_PARTITION, rounds=ROUNDS) -> DataFrame:
     """Pieces with their ``sequence_id`` and ``offset``. ``found`` is staged first, as it is read several times."""
-    found = stage(found, "pieces")
+    found = stage(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
     short, full = found.where(F.col("length") < size), found.where(F.col("length") >= size)
     count = short.count()
     current, kept = _dealt(short, count, 0, size, per_partition), []

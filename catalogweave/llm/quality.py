@@ -11,7 +11,8 @@ The model is fitted on the driver from a bounded, documented sample of labelled
 
 Defined results: a null text counts as empty; an empty text has features of zero and is
 scored like any other; without labels, or with labels of one kind only, every score is
-the (smoothed) share of good labels. Repeated labels keep the largest one.
+the (smoothed) share of good labels. Repeated labels keep the largest one, and of texts that
+repeat a labelled key the smallest is learned from; all are scored.
 """
 
 import math
@@ -23,9 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_remainder, label_sample
+from .common import is_remainder, label_sample, sampled_texts
 
-MAX_LABELLED = 40_000  # labelled rows used for fitting, at most (about)
+MAX_LABELLED = 40_000  # labelled keys, and rows, used for fitting, at most (about)
 BINS = 32
 PAIR_BINS = 8
 PAIRS = 8
@@ -216,8 +217,7 @@ def fit_quality(
     sample = label_sample(learning, key, label, limit)
     features = F.pandas_udf(lambda texts: pd.Series(list(_matrix(texts))), "array<double>")
     rows = (
-        docs.select(F.col(key).alias("sample_key"), F.col(text).alias("sample_text"))
-        .join(F.broadcast(sample), "sample_key")
+        sampled_texts(docs, sample, key, text)
         .select("sample_key", "sample_label", features("sample_text").alias("features"))
         .toPandas()
         .sort_values("sample_key", kind="stable")

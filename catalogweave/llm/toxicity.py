@@ -2,8 +2,8 @@
 
 Features of a text are the words it holds and the first four to six letters of each
 (insults are often inflected), weighted by log(1 + occurrences). From a bounded,
-documented sample of labelled documents (``MAX_LABELLED``) the most telling features are
-chosen by a likelihood-ratio statistic. The labels say toxic or not; severity grades are
+documented sample of labelled documents (``MAX_LABELLED``) all features with enough ``EVIDENCE``, a
+likelihood-ratio statistic, are taken. The labels say toxic or not; severity grades are
 graded evidence among the toxic ones: 0 clean, 1, 2 and 3 for few, several and many
 occurrences of strongly toxic features. The ordinal model has ONE weight vector and
 ordered thresholds: P(grade > k) = logistic(w x - theta_k). Its output is the expected grade.
@@ -11,7 +11,8 @@ ordered thresholds: P(grade > k) = logistic(w x - theta_k). Its output is the ex
 Scoring is one narrow pass over all documents, in Arrow batches.
 
 Defined results: a null or empty text has no features and severity of the bare thresholds;
-without toxic labels every severity is 0.
+without toxic labels every severity is 0. Of texts that repeat a labelled key the smallest is
+learned from; all are scored.
 """
 
 import re
@@ -24,11 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_remainder, label_sample, stage
+from .common import is_remainder, label_sample, sampled_texts, stage
 
-MAX_LABELLED = 40_000  # labelled rows used for fitting, at most (about)
-MAX_CANDIDATES = 50_000  # features of toxic documents that are counted in all documents
-MAX_FEATURES = 2_048  # features of the model
+MAX_LABELLED = 40_000  # labelled keys, and rows, used for fitting, at most (about)
+EVIDENCE = 2.0  # likelihood ratio from which a feature enters the model
 BANDS = (3, 6)  # occurrences of strong features at which grades 2 and 3 begin
 STRONG = 3.0  # log odds from which a feature counts as strong
 WORDS = re.compile(r"[^\W\d_]+")
@@ -42,7 +42,7 @@ SEVERITY = T.StructType(
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    return (word[:24] + "$", *(word[:k] for k in range(4, min(6, len(word)) + 1)))
+    return (word + "$", *(word[:k] for k in range(4, min(6, len(word)) + 1)))
 
 
 def words_of(text: str | None) -> Counter:
@@ -139,12 +139,7 @@ def fit_toxicity(
     bounded, so it is broadcast; counts are aggregated in the tasks before they are shuffled.
     """
     sample = label_sample(labels.where(~is_remainder(F.col(key), 5, 0)), key, label, limit)
-    rows = stage(
-        docs.select(F.col(key).alias("sample_key"), F.col(text).alias("sample_text")).join(
-            F.broadcast(sample), "sample_key"
-        ),
-        "toxicity-sample",
-    )
+    rows = stage(sampled_texts(docs, sample, key, text), "toxicity-sample")
     schema = "feature string, clean long, bad long"
 
     def totals(frame, only):
@@ -156,13 +151,13 @@ def fit_toxicity(
     if not bad or not clean:
         return OrdinalModel({}, np.array([50.0, 51.0, 52.0]))
     toxic = totals(rows.where("sample_label > 0"), None)
-    candidates = toxic.where("bad >= 2").orderBy(F.desc("bad"), "feature").limit(MAX_CANDIDATES).select("feature")
+    candidates = toxic.where("bad >= 2").select("feature")
     counted = totals(rows, frozenset(r[0] for r in candidates.collect())).toPandas()
     a, b = counted["bad"].to_numpy(float), counted["clean"].to_numpy(float)
     odds = np.log((a + 0.25) / (bad + 0.5)) - np.log((b + 0.25) / (clean + 0.5))
     expected = (a + b) * bad / (bad + clean)
     ratio = np.abs(a * np.log((a + 0.25) / (expected + 0.25)) - (a - expected))
-    order = np.lexsort((counted["feature"].to_numpy(), -ratio))[:MAX_FEATURES]
+    order = np.lexsort((counted["feature"].to_numpy(), -ratio))[: (ratio >= EVIDENCE).sum()]
     names = counted["feature"].to_numpy()[order]
     strong = {f for f, o, n in zip(names, odds[order], a[order]) if o >= STRONG and n >= 3}
     index = {f: i for i, f in enumerate(names)}

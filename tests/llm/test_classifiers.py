@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalogweave.llm import quality, toxicity, urls
+from catalogweave.llm import common, quality, toxicity, urls
 from catalogweave.llm.suite import op2_urls, op3_quality, op10_toxicity
 
 LARGER = "/root/testdata/sf0.01"
@@ -125,3 +125,18 @@ def test_boosted_trees_separate(spark):
     rows += [(100, "http://x.com/" + "8" * 21), (101, "http://x.com/fr/1")]
     got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[100] == "block" and got[101] == "allow"
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """One labelled id on many rows is one row of the sample, whichever texts it has."""
+    rows = [(1, f"text {k}") for k in range(500)] + [(1, None), (2, None), (3, "c"), (None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (9, 1)], "doc_id long, quality int")
+    sample = common.label_sample(labels, "doc_id", "quality", 100)
+    found = {tuple(r) for r in common.sampled_texts(docs, sample, "doc_id", "text").collect()}
+    assert found == {(1, 1, "text 0"), (2, 0, None)}
+
+
+def test_long_words_are_features_of_their_own():
+    first, second = "a" * 24 + "b", "a" * 24 + "c"
+    assert toxicity.word_features(first)[0] != toxicity.word_features(second)[0]

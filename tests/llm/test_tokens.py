@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from catalogweave.llm import blocks, bpe, packing
@@ -22,6 +23,12 @@ def tokenizer():
     return found
 
 
+@pytest.fixture(scope="module")
+def loaded():
+    """The tokenizer as its file says, added tokens included."""
+    return Tokenizer.from_file(JSON)
+
+
 def library_ids(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
@@ -45,9 +52,9 @@ def test_units_are_whole_matches(tokenizer):
         assert [m for w in words for m in pattern.findall(w)] == pattern.findall(text), repr(text)
 
 
-def test_packing_query(spark, sf_dir, texts, tokenizer):
+def test_packing_query(spark, sf_dir, texts, loaded):
     rows = op4_packing(spark, sf_dir).toPandas()
-    ids = {i: np.array([*library_ids(tokenizer, t), 2], dtype="<u4") for i, t in texts.items()}
+    ids = {i: np.array([*library_ids(loaded, t), 2], dtype="<u4") for i, t in texts.items()}
     for doc, own in rows.sort_values("piece").groupby("doc_id"):
         whole = ids[doc]
         assert own["piece"].tolist() == list(range(len(own)))
@@ -78,6 +85,23 @@ def test_many_partitions_exchange(spark):
     assert packing.lower_bound(lengths, 1024) <= got["sequence_id"].nunique() <= apart
 
 
+def test_pieces_hold_the_ids_of_the_loaded_file(spark, loaded):
+    docs = spark.createDataFrame(list(enumerate(ODD + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>"])), "doc_id long, text string")
+    for row in packing.pieces(docs, JSON).join(docs, "doc_id").collect():
+        ids = np.array([*library_ids(loaded, row["text"]), 2], dtype="<u4")
+        assert row["length"] == len(ids) and row["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
+def test_repeated_rows_are_spread(spark):
+    """One row a thousand times: no group takes more than a few times its share, and nothing is lost."""
+    found = spark.createDataFrame([(1, 0, 0, 300, 7)] * 1000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(found, per_partition=50).toPandas()
+    assert len(got) == 1000 and got.groupby("sequence_id")["length"].sum().max() <= 1024
+    assert got["sequence_id"].nunique() <= -(-1000 // 3) + 20
+    dealt = packing._dealt(found.withColumn("row", F.monotonically_increasing_id()), 1000, 0, 1024, 50)
+    assert dealt.groupBy("part").count().agg(F.max("count")).first()[0] < 150
+
+
 def test_lower_bound_never_exceeds_best_fit():
     random.seed(2)
     for _ in range(200):
