@@ -122,9 +122,15 @@ def test_embedding_recall_at_the_threshold(spark):
     other -= (other * first).sum(1, keepdims=True) * first
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     second = 0.931 * first + math.sqrt(1 - 0.931**2) * other
-    keys = [embedding_dedup.bucket_keys(v).reshape(1500, -1) for v in (first, second)]
-    met = (keys[0][:, :, None] == keys[1][:, None, :]).any(axis=(1, 2))
-    assert met.mean() > 0.99
+    chosen = []
+    for rows in (100, 10_000, 1_000_000, 100_000_000):
+        tables, functions = embedding_dedup.hash_plan(64, rows, 0.93)
+        keys = [embedding_dedup.bucket_keys(v, tables, functions).reshape(1500, -1) for v in (first, second)]
+        met = (keys[0][:, :, None] == keys[1][:, None, :]).any(axis=(1, 2))
+        assert met.mean() > 0.99
+        assert rows * (1 + functions) ** 2 < (2 * 64) ** functions  # chance meetings stay rare, however many rows
+        chosen.append(functions)
+    assert chosen == sorted(chosen) and chosen[0] < chosen[-1]
 
 
 def test_lm_query(spark, sf_dir, texts):
