@@ -163,6 +163,12 @@ def _block_join(store, queries, n_queries, k, block_rows):
         "query_block", "query_ids", "query_vectors", "ids", "vectors"
     )
 
+    return met.mapInArrow(compare_blocks(k), CANDIDATE_SCHEMA)
+
+
+def compare_blocks(k):
+    """Task-side: the best k of each block of vectors for each query of the block of queries it meets."""
+
     def compare(batches):
         # Rows of one query block mostly arrive together; their best k are merged
         # here, and flushed early only to bound this task's memory.
@@ -181,7 +187,7 @@ def _block_join(store, queries, n_queries, k, block_rows):
                     open_blocks, held = {}, 0
         yield from (best.rows() for best in open_blocks.values())
 
-    return met.mapInArrow(compare, CANDIDATE_SCHEMA)
+    return compare
 
 
 def missing_queries(store: DataFrame, query_ids: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ and unknown ones are ignored. A row with more or fewer cells than its header is
 ``bad_row``, which validation turns into a rejected row.
 """
 
-import csv
-
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +16,7 @@ from ..functions.text import na_to_null
 from ..operators.clean import BAD_ROW
 from ..operators.joins import lookup_join
 from ..schemas import INVALID_SCHEMA, NA_TOKENS, RAW_COLUMNS
+from .csv_records import cells_of, csv_records, largest_file, record_headers
 
 # Where a row came from. Captured at the scan, before anything is shuffled;
 # (file, block, position) sorts rows in file order.
@@ -49,17 +48,24 @@ def read_raw_works(
     file_format: str = "csv",
     na_tokens=NA_TOKENS,
     header: list[str] | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
     """Raw works as text columns, ``bad_row`` and their origin.
 
     Every column is read as text, nothing is inferred; ``na_tokens`` become
-    NULL. A CSV file with line breaks inside fields cannot be split, so one file
-    is one task: large crawls should be appended as many files, or as Parquet.
+    NULL. ``split`` reads CSV files in splits (see ``csv_records``), so that one large file is many
+    tasks; without it one file is one task. Left open, files are split when the largest one exceeds
+    ``spark.sql.files.maxPartitionBytes``.
     ``header`` names the columns of CSV files whose header is known to be the same;
-    otherwise one pass over the raw lines looks for the header of every file.
+    otherwise the header of every file is looked up: among its records when files are split, else
+    in one more pass over the raw lines.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
-    if file_format == "csv":
+    if file_format == "csv" and split is None:
+        split = largest_file(spark, path) > _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if file_format == "csv" and split:
+        scan = _record_scan(csv_records(spark, path), header)
+    elif file_format == "csv":
         groups = [(header, path)] if header else csv_headers(spark, path)
         scans = [_csv_scan(reader, names, files) for names, files in groups]
         scan = scans[0]
@@ -71,6 +77,39 @@ def read_raw_works(
     return scan.select(*[na_to_null(F.col(c), na_tokens).alias(c) for c in RAW_COLUMNS], BAD_ROW, *ORIGIN_COLUMNS)
 
 
+def _bytes(size: str) -> int:
+    """A size setting in bytes, such as 128m or 134217728b."""
+    digits, unit = size.lower().rstrip("b").rstrip("i"), 1
+    if digits[-1:] in "kmgt":
+        unit, digits = 1024 ** ("kmgt".index(digits[-1]) + 1), digits[:-1]
+    return int(digits) * unit
+
+
+def _record_scan(records: DataFrame, header: list[str] | None) -> DataFrame:
+    """Records parsed by their file's header; one parse per different header."""
+    headers = record_headers(records)
+    rows = records.where(~((F.col("src_block") == 0) & (F.col("src_pos") == 0)))
+    if header:
+        return _parsed(rows, header)
+    found = [r["header"] for r in headers.select("header").distinct().orderBy("header").collect()]
+    if len(found) == 1:
+        return _parsed(rows, cells_of(found[0]))
+    scan = _parsed(rows.where(F.lit(False)), list(RAW_COLUMNS))
+    for names in found:
+        own = headers.where(F.col("header") == names).select("src_file")
+        scan = scan.unionByName(_parsed(rows.join(own, "src_file", "left_semi"), cells_of(names)))
+    return scan
+
+
+def _parsed(rows: DataFrame, header: list[str]) -> DataFrame:
+    schema = ", ".join("`{}` STRING".format(f.name.replace("`", "``")) for f in _header_fields(header))
+    # A record is one line to the parser: only the line feed is a break, and those in quotes are kept.
+    options = {**CSV_OPTIONS, "lineSep": "\n", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    cells = rows.select(F.from_csv("record", schema, options).alias("cells"), *ORIGIN_COLUMNS)
+    flat = cells.select("cells.*", *ORIGIN_COLUMNS)
+    return flat.select(*_by_name(flat), F.col(_CORRUPT).isNotNull().alias(BAD_ROW), *ORIGIN_COLUMNS)
+
+
 def csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
     """(column names, files) of the CSV files under ``path``, one entry per different header.
 
@@ -84,22 +123,27 @@ def csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[s
         .groupBy("file")
         .agg(F.min_by("value", "at").alias("header"))
     )
-    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files")
-    found = [(next(csv.reader([r["header"]]), []), list(r["files"])) for r in grouped.collect()]
-    return found or [(list(RAW_COLUMNS), path)]
+    files = {}
+    for row in first.orderBy("file").toLocalIterator():
+        files.setdefault(row["header"], []).append(row["file"])
+    return [(cells_of(header), own) for header, own in files.items()] or [(list(RAW_COLUMNS), path)]
 
 
 def _csv_scan(reader, header: list[str], files) -> DataFrame:
     """One scan of files with the same header, reduced to the raw columns by name."""
-    names = [n.strip().lstrip("\ufeff").lower() for n in header]
-    # A name's first column counts; blank and repeated names get placeholders.
-    unique = [n if n and n not in names[:k] else f"_unnamed_{k}" for k, n in enumerate(names)]
-    fields = [T.StructField(n, T.StringType()) for n in (*unique, _CORRUPT)]
+    fields = _header_fields(header)
     options = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     scan = reader.options(**options).schema(T.StructType(fields)).csv(files)
     return with_origin(scan.select(*_by_name(scan), F.col(_CORRUPT).isNotNull().alias(BAD_ROW), "_metadata"))
 
 
+def _header_fields(header: list[str]) -> list[T.StructField]:
+    names = [n.strip().lstrip("\ufeff").lower() for n in header]
+    # A name's first column counts; blank and repeated names get placeholders.
+    unique = [n if n and n not in names[:k] else f"_unnamed_{k}" for k, n in enumerate(names)]
+    return [T.StructField(n, T.StringType()) for n in (*unique, _CORRUPT)]
+
+
 def _by_name(scan: DataFrame) -> list:
     return [
         _as_text(scan, c).alias(c) if c in scan.columns else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS

@@ -9,11 +9,14 @@ from ..functions.scores import (
     popularity_score,
 )
 from ..functions.text import format_score, vector_prefix
+from ..operators.index import build_index, lists_read, read_index, retrieve_indexed, write_index
 from ..operators.normalize import assign_ids, count_tags, encode_tags
 from ..operators.pairwise import pairwise_similarity
+from ..operators.pruned import pairwise_pruned, pairwise_work
 from ..operators.retrieve import retrieve, retrieve_vector
 from ..operators.score import batch_metadata, max_popularity, score_candidates, tag_sets
 from ..plans.recommend import recommend, recommend_batch
+from ..session import scratch_path
 from ..sources.embeddings import get_embedding
 from .inputs import part_core, part_tags, part_words, vectors
 
@@ -65,6 +68,44 @@ def cosine_pairs_above(spark, sf_dir):
     return pairs.select("left_id", "right_id", F.round("sim", 6).alias("sim"))
 
 
+def cosine_pairs_pruned(spark, sf_dir):
+    pairs = pairwise_pruned(vectors(spark, sf_dir), 0.3)
+    return pairs.select("left_id", "right_id", F.round("sim", 6).alias("sim"))
+
+
+def cosine_pairs_work(spark, sf_dir):
+    """How few of all pairs are multiplied out at a similarity of 0.93, without losing any."""
+    store = vectors(spark, sf_dir)
+    n = store.select(F.count("*")).scalar()
+    found = F.broadcast(pairwise_pruned(store, 0.93).agg(F.count("*").alias("found")))
+    work = pairwise_work(store, 0.93).select(n.alias("vectors"), "products").withColumn("pairs", F.expr("vectors * (vectors - 1) div 2"))
+    few = (F.col("products") < 0.25 * F.col("pairs")).alias("few_products")
+    return work.join(found, F.lit(True)).select("vectors", "pairs", "found", few)
+
+
+def _stored_index(spark, sf_dir):
+    path = scratch_path(spark, "index")
+    write_index(build_index(vectors(spark, sf_dir), 32), path)
+    return read_index(spark, path)
+
+
+def index_topk(spark, sf_dir):
+    """The best five for every stored vector, through an index that was written and read again."""
+    queries = vectors(spark, sf_dir).withColumnRenamed("fic_id", "query_id")
+    found = retrieve_indexed(_stored_index(spark, sf_dir), queries, 5, block_rows=256)
+    return found.select("query_id", "place", "fic_id", F.round("sim", 6).alias("sim"))
+
+
+def index_lists_read(spark, sf_dir):
+    """Searching copies of stored vectors for their one best match: few lists are read, and the match is found."""
+    store = vectors(spark, sf_dir)
+    index = _stored_index(spark, sf_dir)
+    copies = store.select((-F.col("fic_id") - 1).alias("query_id"), "embedding")
+    read = lists_read(index, copies, 1)
+    best = retrieve_indexed(index, copies, 1).select("query_id", F.round("sim", 6).alias("sim"))
+    return best.join(read, "query_id").select("query_id", "sim", (F.col("visited") <= 8).alias("few_lists"))
+
+
 def jaccard_tags(spark, sf_dir):
     works = part_words(spark, sf_dir)
     query = works.where(F.col("fic_id") == QUERY_ID).select(F.array_distinct("words")).scalar()
@@ -130,6 +171,10 @@ QUERIES = {
     "cosine_topk_blocks": cosine_topk_all,
     "cosine_to_one": cosine_to_one,
     "cosine_pairs_above": cosine_pairs_above,
+    "cosine_pairs_pruned": cosine_pairs_pruned,
+    "cosine_pairs_work": cosine_pairs_work,
+    "index_topk": index_topk,
+    "index_lists_read": index_lists_read,
     "jaccard_tags": jaccard_tags,
     "popularity_score": popularity,
     "weighted_score_components": weighted_score_components,
@@ -202,6 +247,18 @@ ORACLES = {
         FROM embeddings c, embeddings q WHERE q.vec_id = {QUERY_ID}""",
     "cosine_pairs_above": f"""SELECT q.vec_id AS left_id, c.vec_id AS right_id, round({_SIM}, 6) AS sim
         FROM embeddings q JOIN embeddings c ON q.vec_id < c.vec_id WHERE {_SIM} >= 0.3""",
+    "cosine_pairs_pruned": f"""SELECT q.vec_id AS left_id, c.vec_id AS right_id, round({_SIM}, 6) AS sim
+        FROM embeddings q JOIN embeddings c ON q.vec_id < c.vec_id WHERE {_SIM} >= 0.3""",
+    "cosine_pairs_work": f"""SELECT (SELECT count(*) FROM embeddings) AS vectors, count(*) AS pairs,
+        count(*) FILTER (WHERE {_SIM} >= 0.93) AS found, true AS few_products
+        FROM embeddings q JOIN embeddings c ON q.vec_id < c.vec_id""",
+    "index_topk": f"""
+        WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS fic_id, {_SIM} AS sim
+                   FROM embeddings c JOIN embeddings q ON c.vec_id <> q.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, fic_id)::INT AS place,
+               fic_id, round(sim, 6) AS sim FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, fic_id) <= 5""",
+    "index_lists_read": """SELECT -vec_id - 1 AS query_id, 1.0::DOUBLE AS sim, true AS few_lists FROM embeddings""",
     "jaccard_tags": f"""WITH {_ITEMS} SELECT i.id AS fic_id, round({_jaccard('i.tags', 'q.tags')}, 6) AS jaccard
         FROM item i, item q WHERE q.id = {QUERY_ID}""",
     "popularity_score": f"""WITH {_ITEMS} SELECT id AS fic_id,

@@ -7,9 +7,9 @@ from ..operators.extract import extract_works, split_incomplete
 from ..operators.merge import replace_embeddings
 from ..operators.validate import with_error
 from ..schemas import RAW_COLUMNS
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources.embeddings import as_store, read_embeddings, write_embeddings
-from ..sources.raw import append_raw_works, number_rows, read_raw_works
+from ..sources.raw import CSV_OPTIONS, append_raw_works, number_rows, read_raw_works
 from ..sources.urls import write_failed_pages
 from .inputs import table, vectors
 from .pages import work_pages
@@ -85,6 +85,25 @@ def lossless_roundtrip(spark, sf_dir):
     return read_raw_works(spark, path).select("title", "url", "author", "bad_row")
 
 
+def one_large_file(spark, sf_dir):
+    """One CSV file with line breaks and quotes in its cells, read in many small splits."""
+    odd = F.concat(F.lit('say "hi"\n'), F.col("title"), F.lit(',\r\n\n"end'))
+    orders = _orders(spark, sf_dir).withColumn("title", odd)
+    path = scratch_path(spark, "csv")
+    ordered = orders.coalesce(1).sortWithinPartitions("o_orderkey").select("title", "url", "words", "summary")
+    ordered.write.options(**CSV_OPTIONS).csv(path)
+    settings = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        rows = staged(read_raw_works(spark, path, split=True), "rows")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    return number_rows(rows).select("title", "url", "words", "summary", "author", "bad_row", "row_number")
+
+
 def failed_pages(spark, sf_dir):
     path = scratch_path(spark, "failed")
     _, failed = split_incomplete(extract_works(work_pages(spark, sf_dir), keep_failed_html=True))
@@ -138,6 +157,7 @@ QUERIES = {
     "csv_ragged_rows": ragged_rows,
     "csv_row_numbers": row_numbers,
     "csv_lossless_roundtrip": lossless_roundtrip,
+    "csv_one_large_file": one_large_file,
     "failed_pages": failed_pages,
     "list_type_check": list_type_check,
     "replace_store": replaced_store,
@@ -157,6 +177,9 @@ ORACLES = {
         row_number() OVER (PARTITION BY o_orderkey % {FOLDERS} ORDER BY o_orderkey) - 1 AS row_number FROM orders""",
     "csv_lossless_roundtrip": """SELECT '  "a" \\ \\"T' || o_orderkey || chr(10) || chr(13) || chr(10) || ', ''b''' || chr(9) || ' ' AS title,
         'https://host/works/' || o_orderkey AS url, NULL::VARCHAR AS author, false AS bad_row FROM orders""",
+    "csv_one_large_file": """SELECT 'say "hi"' || chr(10) || 'T' || o_orderkey || ',' || chr(13) || chr(10) || chr(10) || '"end' AS title,
+        'https://host/works/' || o_orderkey AS url, o_custkey::VARCHAR AS words, o_orderpriority AS summary,
+        NULL::VARCHAR AS author, false AS bad_row, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_number FROM orders""",
     "failed_pages": """SELECT 'https://host/works/' || o_orderkey AS url, o_orderkey AS seq, 'title missing' AS reason, true AS has_html
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P'""",
     "list_type_check": """SELECT c_custkey AS fic_id, CASE WHEN c_acctbal < 0 THEN 'fandom must be a list' END AS error FROM customer""",
