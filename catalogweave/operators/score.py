@@ -4,11 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..schemas import SCORED_KINDS
 from ..session import staged
 from .joins import lookup_join
 
-SCORED_KINDS = ("fandom", "relationship")
-
 
 def max_popularity(core: DataFrame) -> DataFrame:
     """Largest kudos and bookmarks over all works; 0 for an empty table."""
@@ -72,9 +71,12 @@ def score_candidates(
     are salted (``lookup_join``).
     """
     of_work = staged(scored_tags(tags).join(core.select("fic_id", "kudos", "bookmarks"), "fic_id", "full"), "scored-works")
+    return score_profiles(candidates, of_work, max_popularity(core) if maxima is None else maxima, weights)
+
+
+def score_profiles(candidates: DataFrame, of_work: DataFrame, maxima: DataFrame, weights: dict | None = None) -> DataFrame:
+    """``score_candidates`` with a stored row per work: fic_id, kudos, bookmarks and a tag set per scored kind."""
     of_query = of_work.select(F.col("fic_id").alias("query_id"), *[F.col(k).alias(f"query_{k}") for k in SCORED_KINDS])
-    if maxima is None:
-        maxima = max_popularity(core)
     top = maxima.select(F.struct("max_kudos", "max_bookmarks")).scalar()
     joined = lookup_join(candidates, of_work, ["fic_id"], how="left")
     joined = lookup_join(joined, of_query, ["query_id"], how="left")

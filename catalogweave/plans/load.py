@@ -17,10 +17,11 @@ from ..operators.normalize import (
     with_identity,
 )
 from ..operators.quality import check_catalogue, check_delta
+from ..operators.summaries import bucket_maxima, merged_maxima, merged_profiles, pair_counts
 from ..operators.validate import error_records, judge, valid_rows
 from ..schemas import CORE_COLUMNS, TAG_KINDS
 from ..session import scratch_scope, staged
-from ..sources.catalogue import compact_when_many, read_part, write_core, write_part
+from ..sources.catalogue import compact_when_many, read_part, write_core, write_maxima, write_part
 from ..sources.manifest import bucket_of, current_snapshot, in_buckets, publish
 from ..sources.raw import ORIGIN_COLUMNS, number_rows, read_raw_works, write_invalid
 
@@ -87,6 +88,7 @@ def _load(spark, raw, root, invalid_path, keep_old_when_missing) -> DataFrame:
     encoded = staged(encode_tags(tags, dictionary, vocabulary), "pairs")
     pairs = write_part(new_pairs(old["pairs"], encoded), root, "pairs")
     parts["pairs"] = snapshot["parts"].get("pairs", []) + [pairs]
+    parts |= _summaries(spark, snapshot, new, merged, pairs, touched, root)
 
     report = load_report(spark, judged, normal.duplicates, unique, new)
     delta = {"parts": {"core": fresh, "dictionary": [entries], "pairs": [pairs]}}
@@ -98,6 +100,26 @@ def _load(spark, raw, root, invalid_path, keep_old_when_missing) -> DataFrame:
     return spark.createDataFrame(report.collect(), report.schema)  # a few rows, read before scratch is dropped
 
 
+def _summaries(spark, snapshot, new, merged, pairs, touched, root) -> dict:
+    """New parts of the aggregates: the touched buckets and the added pairs only.
+
+    A catalogue from before there were profiles gets them whole on its next load.
+    """
+    added, before = read_part(spark, {"parts": {"pairs": [pairs]}}, "pairs"), snapshot["parts"]
+    if before.get("core") and not before.get("profiles"):
+        before, merged, added = {}, read_part(spark, new, "core"), read_part(spark, new, "pairs")
+    stale, reused = in_buckets(before.get("profiles", []), touched)
+    old = read_part(spark, {"parts": {"profiles": stale}}, "profiles")
+    fresh = write_core(merged_profiles(merged, old, added), root, "profiles")
+    maxima = bucket_maxima(read_part(spark, {"parts": {"profiles": fresh}}, "profiles"))
+    counts = write_part(pair_counts(added), root, "counts")
+    return {
+        "profiles": reused + fresh,
+        "maxima": [write_maxima(merged_maxima(read_part(spark, {"parts": before}, "maxima"), maxima, touched), root)],
+        "counts": before.get("counts", []) + [counts],
+    }
+
+
 def check_load(spark: SparkSession, delta: dict, old_dictionary: DataFrame, vocabulary: DataFrame) -> list:
     """Broken checks of what a load adds: a bounded list of (check, table, violations).
 
@@ -123,20 +145,29 @@ def check_published(spark: SparkSession, root: str) -> DataFrame:
 def load_report(spark, judged, duplicates, unique, snapshot) -> DataFrame:
     """(stage, metric, value) of one load."""
 
-    def metric(frame, stage, name, value):
-        counted = frame.agg(value.cast("bigint").alias("value"))
-        return counted.select(F.lit(stage).alias("stage"), F.lit(name).alias("metric"), "value")
-
-    def stored(name, snap):
-        return metric(read_part(spark, snap, name), name, "rows", F.count("*"))
-
+    def metrics(frame, stages):
+        """One aggregation of a frame, a row per metric."""
+        entries = F.array(
+            *[
+                F.struct(F.lit(stage).alias("stage"), F.lit(name).alias("metric"), value.cast("bigint").alias("value"))
+                for (stage, name), value in stages.items()
+            ]
+        )
+        return frame.agg(entries.alias("entries")).select(F.inline("entries"))
+
+    rejected, lost = F.col("error").isNotNull(), F.col("date_lost")
     rows = [
-        metric(judged, "read", "rows", F.count("*")),
-        metric(judged, "validate", "valid", F.count_if(F.col("error").isNull())),
-        metric(judged, "validate", "invalid", F.count_if(F.col("error").isNotNull())),
-        metric(judged, "clean", "unreadable_dates", F.count_if(F.col("date_lost"))),
-        metric(duplicates, "normalize", "duplicates", F.max("duplicates")),
-        metric(unique, "normalize", "unique", F.count("*")),
-        *[stored(name, snapshot) for name in ("core", "dictionary", "pairs")],
+        metrics(
+            judged,
+            {
+                ("read", "rows"): F.count("*"),
+                ("validate", "valid"): F.count_if(~rejected),
+                ("validate", "invalid"): F.count_if(rejected),
+                ("clean", "unreadable_dates"): F.count_if(lost),
+            },
+        ),
+        metrics(duplicates, {("normalize", "duplicates"): F.max("duplicates")}),
+        metrics(unique, {("normalize", "unique"): F.count("*")}),
+        *[metrics(read_part(spark, snapshot, n), {(n, "rows"): F.count("*")}) for n in ("core", "dictionary", "pairs")],
     ]
     return reduce(DataFrame.unionByName, rows)

@@ -4,12 +4,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.retrieve import retrieve, retrieve_vector
-from ..operators.score import max_popularity, score_candidates
+from ..operators.score import max_popularity, score_candidates, score_profiles
 from ..schemas import DEFAULT_RETRIEVAL_SIZE, DEFAULT_TOP_K
 from ..session import pin, staged
-from ..sources.catalogue import read_part
+from ..sources.catalogue import read_profiles
 from ..sources.embeddings import get_embedding, read_embeddings
-from ..sources.manifest import current_snapshot
 
 SCORE_DECIMALS = 12
 
@@ -52,11 +51,32 @@ def recommend_from(
     retrieval_size: int = DEFAULT_RETRIEVAL_SIZE,
     weights: dict | None = None,
 ) -> DataFrame:
-    """``recommend`` over the published catalogue at ``root`` and the vectors at ``store_path``."""
-    snapshot = current_snapshot(spark, root)
-    pairs = read_part(spark, snapshot, "pairs").withColumnRenamed("id", "tag")
-    core = read_part(spark, snapshot, "core")
-    return recommend(read_embeddings(spark, store_path), core, pairs, fic_id, top_k, retrieval_size, weights)
+    """``recommend`` over the published catalogue at ``root`` and the vectors at ``store_path``.
+
+    Tag sets and maxima are those that the loads keep up to date; neither pairs nor core rows are read.
+    """
+    _require_sizes(top_k, retrieval_size)
+    store = read_embeddings(spark, store_path)
+    found = staged(retrieve_vector(store, fic_id, get_embedding(store, fic_id), retrieval_size), "found")
+    profiles, maxima = read_profiles(spark, root)
+    asked = spark.range(fic_id, fic_id + 1).select(F.col("id").alias("fic_id"))
+    few = staged(profiles.join(found.select("fic_id").union(asked), "fic_id", "left_semi"), "profiles")
+    return rank_results(score_profiles(found, few, maxima, weights), top_k).drop("query_id")
+
+
+def recommend_batch_from(
+    spark: SparkSession,
+    root: str,
+    store_path: str,
+    query_ids: DataFrame,
+    top_k: int = DEFAULT_TOP_K,
+    retrieval_size: int = DEFAULT_RETRIEVAL_SIZE,
+    weights: dict | None = None,
+) -> DataFrame:
+    """``recommend_batch`` over a published catalogue, from the profiles that its loads keep up to date."""
+    _require_sizes(top_k, retrieval_size)
+    found = _retrieved(read_embeddings(spark, store_path), query_ids, retrieval_size)
+    return rank_results(score_profiles(found, *read_profiles(spark, root), weights), top_k)
 
 
 def recommend_batch(
@@ -73,11 +93,15 @@ def recommend_batch(
     Query ids without a vector are left out; ``missing_queries`` reports them.
     """
     _require_sizes(top_k, retrieval_size)
+    found = _retrieved(store, query_ids, retrieval_size)
+    return rank_results(score_candidates(found, core, tags, weights), top_k)
+
+
+def _retrieved(store: DataFrame, query_ids: DataFrame, retrieval_size: int) -> DataFrame:
     asked = query_ids.select("query_id").distinct()
     vectors = store.select(F.col("fic_id").alias("query_id"), "embedding")
     queries = vectors.join(asked, "query_id", "left_semi")
-    found = pin(retrieve(store, queries, retrieval_size).drop("place"))
-    return rank_results(score_candidates(found, core, tags, weights), top_k)
+    return pin(retrieve(store, queries, retrieval_size).drop("place"))
 
 
 def rank_results(scored: DataFrame, top_k: int) -> DataFrame:

@@ -126,6 +126,29 @@ PAIR_SCHEMA = T.StructType(
         T.StructField("kind", T.StringType()),
     ]
 )
+# Kept up to date by loads: one row per work, per bucket of works, and per load and tag.
+SCORED_KINDS = ("fandom", "relationship")
+PROFILE_SCHEMA = T.StructType(
+    [
+        T.StructField("fic_id", T.LongType()),
+        *[CORE_SCHEMA[c] for c in ("kudos", "bookmarks")],
+        *[T.StructField(k, T.ArrayType(T.IntegerType())) for k in SCORED_KINDS],
+    ]
+)
+MAXIMA_SCHEMA = T.StructType(
+    [
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("works", T.LongType()),
+        *[T.StructField(f"max_{c}", CORE_SCHEMA[c].dataType) for c in ("kudos", "bookmarks")],
+    ]
+)
+COUNT_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.IntegerType()),
+        T.StructField("works", T.LongType()),
+        T.StructField("kind", T.StringType()),
+    ]
+)
 INVALID_SCHEMA = T.StructType(
     [
         T.StructField("row_number", T.LongType()),

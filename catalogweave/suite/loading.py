@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..plans.load import load_works
+from ..plans.load import load_frame, load_works
 from ..schemas import CORE_COLUMNS, RAW_COLUMNS, TAG_KINDS, TAG_TABLES
 from ..session import scratch_path
-from ..sources.catalogue import read_dictionary, read_table
-from ..sources.raw import append_raw_works
+from ..sources.catalogue import read_dictionary, read_profiles, read_table, read_tag_counts
+from ..sources.raw import append_raw_works, read_raw_works
 from ..streaming.ingest import start_ingest
 from .inputs import CLEAN_WORKS_SQL, raw_works
 
@@ -65,7 +65,33 @@ def streamed_core(spark, sf_dir):
     return read_table(spark, root, "fics").select(*CORE_COLUMNS)
 
 
+def _loaded_in_three(spark, sf_dir):
+    """Three loads of a third of the works each; the third comes with works of the first once more."""
+    root = scratch_path(spark, "catalogue")
+    raw = read_raw_works(spark, _raw_files(spark, sf_dir))
+    third = F.pmod(F.crc32("url"), F.lit(3))
+    for batch in (raw.where(third == 0), raw.where(third == 1), raw.where(third != 1)):
+        load_frame(spark, batch, root)
+    return root
+
+
+def profiles_after_loads(spark, sf_dir):
+    """Every work's profile as the loads kept it, with the maxima over all works."""
+    profiles, maxima = read_profiles(spark, _loaded_in_three(spark, sf_dir))
+    top = maxima.select(F.struct("max_kudos", "max_bookmarks")).scalar()
+    sizes = [F.size(k).alias(f"n_{k}") for k in ("fandom", "relationship")]
+    return profiles.withColumn("top", top).select("fic_id", "kudos", "bookmarks", *sizes, "top.max_kudos", "top.max_bookmarks")
+
+
+def tag_counts_after_loads(spark, sf_dir):
+    root = _loaded_in_three(spark, sf_dir)
+    counts = read_tag_counts(spark, root, "character").withColumnRenamed("id", "characters_id")
+    return read_dictionary(spark, root, "character").join(counts, "characters_id").select("characters", "works")
+
+
 QUERIES = {
+    "profiles_after_loads": profiles_after_loads,
+    "tag_counts_after_loads": tag_counts_after_loads,
     "csv_roundtrip_load": loaded_core,
     "load_tags": loaded_tags,
     "read_dictionary": loaded_dictionary,
@@ -84,6 +110,14 @@ _TAGS = "tag AS (" + " UNION ".join(
 ORACLES = {
     "csv_roundtrip_load": f"{_WORKS} SELECT {_CORE} FROM firsts",
     "streaming_load": f"{_WORKS} SELECT {_CORE} FROM firsts",
+    "profiles_after_loads": f"""{_WORKS}, {_TAGS},
+        n AS (SELECT fic_id, count(DISTINCT value) FILTER (WHERE kind = 'fandom')::INT AS n_fandom,
+                     count(DISTINCT value) FILTER (WHERE kind = 'relationship')::INT AS n_relationship FROM tag GROUP BY fic_id)
+        SELECT f.fic_id, kudos, bookmarks, coalesce(n_fandom, 0) AS n_fandom, coalesce(n_relationship, 0) AS n_relationship,
+               max(kudos) OVER () AS max_kudos, max(bookmarks) OVER () AS max_bookmarks
+        FROM firsts f LEFT JOIN n ON n.fic_id = f.fic_id""",
+    "tag_counts_after_loads": f"""{_WORKS}, {_TAGS}
+        SELECT value AS characters, count(DISTINCT fic_id) AS works FROM tag WHERE kind = 'character' GROUP BY value""",
     "load_tags": f"""{_WORKS}, {_TAGS}
         SELECT fic_id, kind, dense_rank() OVER (PARTITION BY kind ORDER BY value)::INT AS id, value FROM tag""",
     "read_dictionary": f"""{_WORKS}, {_TAGS}, v AS (SELECT DISTINCT value FROM tag WHERE kind = 'character')

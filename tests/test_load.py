@@ -9,10 +9,20 @@ from catalogweave.operators.embed import HashedTokenEncoder
 from catalogweave.operators.quality import empty_pair_tables
 from catalogweave.plans.embed import embed_catalogue
 from catalogweave.plans.load import LoadRejected, check_published, load_works
-from catalogweave.plans.recommend import recommend, recommend_from
+from catalogweave.operators.score import max_popularity
+from catalogweave.operators.summaries import pair_counts, pair_sets
+from catalogweave.plans.recommend import recommend, recommend_batch, recommend_batch_from, recommend_from
 from catalogweave.schemas import RAW_COLUMNS, TAG_TABLES
 from catalogweave.session import scratch_scope
-from catalogweave.sources.catalogue import compact, compact_when_many, read_dictionary, read_part, read_table
+from catalogweave.sources.catalogue import (
+    compact,
+    compact_when_many,
+    read_dictionary,
+    read_part,
+    read_profiles,
+    read_table,
+    read_tag_counts,
+)
 from catalogweave.sources.embeddings import read_embeddings
 from catalogweave.sources.manifest import PublishConflict, current_snapshot, publish
 from catalogweave.sources.raw import append_raw_works, read_raw_works
@@ -240,3 +250,47 @@ def test_many_loads_are_compacted(spark, tmp_path, monkeypatch):
 
 def read_raw_schema():
     return ", ".join(f"`{c}` {'array<string>' if isinstance(BASE.get(c), list) else 'string'}" for c in RAW_COLUMNS)
+
+
+def assert_summaries(spark, root):
+    """Profiles, maxima and tag counts equal those computed from the core rows and pairs."""
+    snapshot = current_snapshot(spark, root)
+    core, pairs = read_part(spark, snapshot, "core"), read_part(spark, snapshot, "pairs")
+    sets = {r["fic_id"]: (r["fandom"], r["relationship"]) for r in pair_sets(pairs).collect()}
+    want = sorted((r["fic_id"], r["kudos"], r["bookmarks"], *sets.get(r["fic_id"], ([], []))) for r in core.collect())
+    profiles, maxima = read_profiles(spark, root)
+    assert sorted(map(tuple, profiles.collect())) == want
+    assert maxima.first() == max_popularity(core).first()
+    for kind in TAG_TABLES:
+        counted = pair_counts(pairs.where(f"kind = '{kind}'")).select("id", "works")
+        assert sorted(map(tuple, read_tag_counts(spark, root, kind).collect())) == sorted(map(tuple, counted.collect()))
+
+
+def test_summaries_follow_three_loads_with_updates(spark, tmp_path):
+    root, store = str(tmp_path / "catalogue"), str(tmp_path / "vectors")
+    first = [work(k, kudos=str(100 * k), fandom=["A", f"F{k % 4}"], relationship=[f"R{k % 3}"]) for k in range(1, 30)]
+    second = [work(29, kudos="1", bookmarks="", fandom=["A", "Z"]), work(40, kudos="50", relationship=["R1", "R9"])]
+    third = [work(k, kudos="5", fandom=[f"F{k}", "A"]) for k in (1, 40, 41)]
+    for name, rows in (("a", first), ("b", second), ("c", third)):
+        load_works(spark, write_csv(tmp_path / f"{name}.csv", rows), root)
+        assert_summaries(spark, root)
+    assert read_profiles(spark, root)[1].first()["max_kudos"] == 2800  # the largest count fell in the second load
+    compact(spark, root)
+    assert_summaries(spark, root)
+    embed_catalogue(spark, root, store, HashedTokenEncoder, "hashed")
+    snapshot = current_snapshot(spark, root)
+    core, tags = read_part(spark, snapshot, "core"), read_part(spark, snapshot, "pairs").withColumnRenamed("id", "tag")
+    vectors = read_embeddings(spark, store)
+    assert recommend_from(spark, root, store, 5).collect() == recommend(vectors, core, tags, 5).collect()
+    queries = vectors.select("fic_id").withColumnRenamed("fic_id", "query_id")
+    batch = [sorted(map(tuple, f.collect())) for f in (recommend_batch(vectors, core, tags, queries), recommend_batch_from(spark, root, store, queries))]
+    assert batch[0] and batch[0] == batch[1]
+
+
+def test_a_catalogue_without_summaries_gets_them(spark, tmp_path):
+    root = str(tmp_path / "catalogue")
+    load_works(spark, write_csv(tmp_path / "a.csv", GOLDEN), root)
+    snapshot = current_snapshot(spark, root)
+    publish(spark, root, snapshot, {k: v for k, v in snapshot["parts"].items() if k in ("core", "dictionary", "pairs")})
+    load_works(spark, write_csv(tmp_path / "b.csv", SECOND), root)
+    assert_summaries(spark, root)
