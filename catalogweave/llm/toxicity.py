@@ -2,8 +2,9 @@
 
 Features of a text are the words it holds and the first four to six letters of each
 (insults are often inflected), weighted by log(1 + occurrences). From a bounded,
-documented sample of labelled documents (``MAX_LABELLED``) all features with enough ``EVIDENCE``, a
-likelihood-ratio statistic, are taken. The labels say toxic or not; severity grades are
+documented sample of labelled documents (``MAX_LABELLED``) all features with enough evidence, a
+likelihood-ratio statistic, are taken. What is enough follows from the number of features looked at, so that
+only about ``CHANCE`` pass without a reason. The labels say toxic or not; severity grades are
 graded evidence among the toxic ones: 0 clean, 1, 2 and 3 for few, several and many
 occurrences of strongly toxic features. The ordinal model has ONE weight vector and
 ordered thresholds: P(grade > k) = logistic(w x - theta_k). Its output is the expected grade.
@@ -15,6 +16,7 @@ without toxic labels every severity is 0. Of texts that repeat a labelled key th
 learned from; all are scored.
 """
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -28,7 +30,8 @@ from pyspark.sql import types as T
 from .common import is_remainder, label_sample, sampled_texts, stage
 
 MAX_LABELLED = 40_000  # labelled keys, and rows, used for fitting, at most (about)
-EVIDENCE = 2.0  # likelihood ratio from which a feature enters the model
+EVIDENCE = 0.5  # least log likelihood ratio of a feature of the model, however few features there are
+CHANCE = 3_000  # features that may reach the required ratio by chance, about
 BANDS = (3, 6)  # occurrences of strong features at which grades 2 and 3 begin
 STRONG = 3.0  # log odds from which a feature counts as strong
 WORDS = re.compile(r"[^\W\d_]+")
@@ -150,14 +153,17 @@ def fit_toxicity(
     bad, clean = rows.agg(F.count_if(is_bad), F.count_if(~is_bad)).first()
     if not bad or not clean:
         return OrdinalModel({}, np.array([50.0, 51.0, 52.0]))
-    toxic = totals(rows.where("sample_label > 0"), None)
-    candidates = toxic.where("bad >= 2").select("feature")
+    toxic = stage(totals(rows.where("sample_label > 0"), None).where("bad >= 2"), "toxicity-features")
+    share, least = bad / (bad + clean), max(EVIDENCE, math.log(max(toxic.count(), 1) / CHANCE))
+    # The ratio is largest for a feature of toxic documents only: what fails then need not be counted elsewhere.
+    best = F.col("bad") * F.log((F.col("bad") + 0.25) / (F.col("bad") * share + 0.25)) - F.col("bad") * (1 - share)
+    candidates = toxic.where(best >= least).select("feature")
     counted = totals(rows, frozenset(r[0] for r in candidates.collect())).toPandas()
     a, b = counted["bad"].to_numpy(float), counted["clean"].to_numpy(float)
     odds = np.log((a + 0.25) / (bad + 0.5)) - np.log((b + 0.25) / (clean + 0.5))
     expected = (a + b) * bad / (bad + clean)
     ratio = np.abs(a * np.log((a + 0.25) / (expected + 0.25)) - (a - expected))
-    order = np.lexsort((counted["feature"].to_numpy(), -ratio))[: (ratio >= EVIDENCE).sum()]
+    order = np.lexsort((counted["feature"].to_numpy(), -ratio))[: (ratio >= least).sum()]
     names = counted["feature"].to_numpy()[order]
     strong = {f for f, o, n in zip(names, odds[order], a[order]) if o >= STRONG and n >= 3}
     index = {f: i for i, f in enumerate(names)}
