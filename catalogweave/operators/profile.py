@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import staged
-from .ranges import with_cumulative
+from .selection import selected_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -41,35 +41,9 @@ def numeric_columns(frame: DataFrame) -> list[str]:
 def exact_quantiles(frame: DataFrame, columns, shares=QUARTILES) -> DataFrame:
     """(column, share, value) with linear interpolation between neighbouring ranks.
 
-    Values are counted first, so a frequent value is one row; the counted values
-    are range-sorted across the cluster and only the rows around each wanted rank
-    are picked. No task ever holds a whole column.
+    Values are neither sorted nor shuffled, see ``selected_quantiles``.
     """
-    long = _unpivot(frame, columns, "double").where("value is not null")
-    return _quantiles(long.groupBy("column", "value").agg(F.count("*").alias("n")), shares)
-
-
-def _quantiles(counted: DataFrame, shares=QUARTILES) -> DataFrame:
-    """Quantiles from counted values (column, value, n)."""
-    placed = with_cumulative(counted, ["column", "value"], "n")
-    extents = placed.groupBy("column").agg(F.min("position").alias("start"), F.sum("n").alias("total"))
-    wanted = extents.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
-    rank = F.col("share") * (F.col("total") - 1)
-    wanted = wanted.select("column", "start", "share", rank.alias("rank"))
-    # (columns x shares) rows.
-    met = placed.join(F.broadcast(wanted), "column")
-    first = F.col("position") - F.col("start")
-    low, high = F.floor("rank"), F.ceil("rank")
-
-    def holds(r):
-        return (r >= first) & (r < first + F.col("n"))
-
-    near = met.where(holds(low) | holds(high)).groupBy("column", "share", "rank").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("below"),
-        F.max(F.when(holds(high), F.col("value"))).alias("above"),
-    )
-    value = F.col("below") + (F.col("above") - F.col("below")) * (F.col("rank") - F.floor("rank"))
-    return near.select("column", "share", value.alias("value"))
+    return selected_quantiles(_unpivot(frame, columns, "double").withColumn("n", F.lit(1)), shares)
 
 
 def profile_numeric(frame: DataFrame, columns=None) -> DataFrame:
@@ -177,7 +151,7 @@ def profile(frame: DataFrame, order, value_columns=(), sample_columns=()) -> Dat
     ]
     figures = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     cells = [F.struct(F.lit(f).alias("figure"), text(f).alias("detail")) for f in figures]
-    quantiles = _quantiles(counted.where("number IS NOT NULL").select("column", F.col("number").alias("value"), "n"))
+    quantiles = selected_quantiles(counted.select("column", F.col("number").alias("value"), "n"), QUARTILES)
     numeric = _numeric(row, quantiles, numbers).select("column", F.inline(F.array(*cells)))
     sections.append(
         numeric.select(F.lit("numeric"), F.concat_ws(" ", "column", "figure"), F.col("detail"))
