@@ -15,6 +15,7 @@ from ..operators.pairwise import pairwise_similarity
 from ..operators.pruned import pairwise_pruned, pairwise_work
 from ..operators.retrieve import retrieve, retrieve_vector
 from ..operators.score import batch_metadata, max_popularity, score_candidates, tag_sets
+from ..operators.similar_sets import set_classes, similar_sets
 from ..plans.recommend import recommend, recommend_batch
 from ..session import scratch_path
 from ..sources.embeddings import get_embedding
@@ -112,6 +113,20 @@ def jaccard_tags(spark, sf_dir):
     return works.select("fic_id", F.round(jaccard_similarity(F.col("words"), query), 6).alias("jaccard"))
 
 
+def _word_sets(spark, sf_dir):
+    return part_words(spark, sf_dir).select("fic_id", F.col("words").alias("values"))
+
+
+def tag_set_pairs(spark, sf_dir):
+    """All works at once: pairs of different tag sets that share half of their tags or more."""
+    found = similar_sets(_word_sets(spark, sf_dir), 0.5)
+    return found.select("left_id", "right_id", "shared", F.round("jaccard", 6).alias("jaccard"))
+
+
+def tag_set_classes(spark, sf_dir):
+    return set_classes(_word_sets(spark, sf_dir))
+
+
 def popularity(spark, sf_dir):
     core = part_core(spark, sf_dir)
     top = max_popularity(core).select(F.struct("max_kudos", "max_bookmarks")).scalar()
@@ -176,6 +191,8 @@ QUERIES = {
     "index_topk": index_topk,
     "index_lists_read": index_lists_read,
     "jaccard_tags": jaccard_tags,
+    "tag_set_pairs": tag_set_pairs,
+    "tag_set_classes": tag_set_classes,
     "popularity_score": popularity,
     "weighted_score_components": weighted_score_components,
     "collect_tag_sets": collect_tag_sets,
@@ -202,6 +219,8 @@ def _jaccard(a, b):
     return f"CASE WHEN {union} = 0 THEN 1.0 ELSE {shared}::DOUBLE / {union} END"
 
 
+_SETS = "cls AS (SELECT list_sort(tags) AS s, min(id) AS class_id FROM item GROUP BY 1)"
+
 _SCORED = f"""
 sides AS (SELECT query_id, ret.id AS fic_id, sim,
                  coalesce(i.tags, []) AS tags, coalesce(i.rels, []) AS rels,
@@ -261,6 +280,13 @@ ORACLES = {
     "index_lists_read": """SELECT -vec_id - 1 AS query_id, 1.0::DOUBLE AS sim, true AS few_lists FROM embeddings""",
     "jaccard_tags": f"""WITH {_ITEMS} SELECT i.id AS fic_id, round({_jaccard('i.tags', 'q.tags')}, 6) AS jaccard
         FROM item i, item q WHERE q.id = {QUERY_ID}""",
+    "tag_set_pairs": f"""WITH {_ITEMS}, {_SETS},
+        p AS (SELECT a.class_id AS left_id, b.class_id AS right_id, len(list_intersect(a.s, b.s)) AS shared,
+                     {_jaccard('a.s', 'b.s')} AS jaccard
+              FROM cls a JOIN cls b ON a.class_id < b.class_id)
+        SELECT left_id, right_id, shared, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= 0.5""",
+    "tag_set_classes": f"""WITH {_ITEMS}, {_SETS}
+        SELECT id AS fic_id, class_id FROM item JOIN cls ON list_sort(tags) = s""",
     "popularity_score": f"""WITH {_ITEMS} SELECT id AS fic_id,
         round((kudos::DOUBLE / mk + bookmarks::DOUBLE / mb) / 2, 6) AS popularity FROM item, top""",
     "weighted_score_components": f"""WITH {_ITEMS}, {_RETRIEVED_ONE}, {_SCORED}
