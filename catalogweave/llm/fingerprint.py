@@ -19,8 +19,10 @@ the order of ids come from a range-partitioned sort of ids alone; texts are shuf
 document, and only the needed beginnings once more to the document before.
 
 Defined results: a null or empty text has no terms and a fingerprint of ``EMPTY`` samples;
-two such fingerprints are alike (1.0). Rows that repeat both id and text count as one
-document and give one row. Null ids come last; ties are ordered by a hash of the text.
+two such fingerprints are alike (1.0). Rows that repeat both id and text are computed once
+and give as many rows; the next document of each is the next different one. Null ids come
+last; ties are ordered by a hash of the text. A row is identified by a hash of its id and
+one of its id and text, 128 bits together.
 """
 
 import numpy as np
@@ -35,6 +37,8 @@ TAG_BITS = 24
 EMPTY = "f" * (TAG_BITS // 4)
 QUANTILES = 2048  # a power of two: eleven bits of a hash choose a quantile
 AT_ONCE = 16
+REPEATED_AT_ONCE = 4096
+KEY = ["row", "id_hash"]
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -119,49 +123,78 @@ def likeness(first: Column, second: Column) -> Column:
     return F.size(same) / F.size(first).cast("double")
 
 
-def fingerprint_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES) -> DataFrame:
-    """(doc_id, samples): one fingerprint per document."""
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, id_hash, doc_id, text) of every row; equal rows have equal keys."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"])
-    keys = ["row", "doc_id"]
-    return signatures(weighted_terms(rows, keys, "text"), keys, samples).select("doc_id", "samples")
+    return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("doc_id").alias("id_hash"), "doc_id", "text")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Every row ``copies`` times, by arrays of bounded length."""
+    blocks = F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / REPEATED_AT_ONCE))
+    spread = rows.withColumn("block", F.explode(blocks))
+    own = F.least(F.col("copies") - F.col("block") * REPEATED_AT_ONCE, F.lit(REPEATED_AT_ONCE)).cast("int")
+    return spread.withColumn("copy", F.explode(F.sequence(F.lit(1), own))).drop("block", "copy", "copies")
+
+
+def _without_hot_rows(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """The texts with one copy of each row that holds more than 1/(4 x partitions) of all rows; fewer than 4 x partitions do."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    large = (F.col("copies") > 1) & (F.col("copies") * F.lit(4 * partitions) > total)
+    hot = [r["row"] for r in counted.where(large).select("row").collect()]
+    if not hot:
+        return texts
+    is_hot = F.col("row").isin(hot)
+    return texts.where(~is_hot).unionByName(texts.where(is_hot).dropDuplicates(KEY))
+
+
+def fingerprint_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES) -> DataFrame:
+    """(doc_id, samples): one fingerprint per row."""
+    rows = _keyed(docs, key, text)
+    counted = rows.groupBy(*KEY, "doc_id").agg(F.count("*").alias("copies"))
+    # Copies are dropped in the map tasks before texts move.
+    signed = signatures(weighted_terms(rows.dropDuplicates(KEY), KEY, "text"), KEY, samples)
+    return _repeated(signed.join(counted, KEY)).select("doc_id", "samples")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(row, before, before_chars, next): each row's neighbours in descending order of ids, as a ring."""
+    """(row, id_hash, doc_id, copies, before, before_hash, before_chars): each row and the one before it in descending order of ids, as a ring."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("row")]
-    places = stage(with_position(rows.select("doc_id", "row", "n_chars").dropDuplicates(["row"]), order), "places")
+    counted = rows.groupBy(*KEY, "doc_id", "n_chars").agg(F.count("*").alias("copies"))
+    places = stage(with_position(counted, order), "places")
     total = places.count()
     ring = places.select(
         F.col("row").alias("before"),
+        F.col("id_hash").alias("before_hash"),
         F.col("n_chars").alias("before_chars"),
         ((F.col("position") + 1) % max(total, 1)).alias("position"),
     )
-    return places.join(ring, "position").select("row", "before", "before_chars")
+    return places.join(ring, "position").select(*KEY, "doc_id", "copies", "before", "before_hash", "before_chars")
 
 
 def edited_documents(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """(row, doc_id, n_chars, next, next_id, text, edited): every document with its edited text.
+    """(row, id_hash, doc_id, copies, n_chars, next, next_hash, text, edited): every different document with its edited text.
 
     The last half (rounded down) of the code points gives way to as many from the beginning
-    of the next document, or all of that document when it is shorter.
+    of the next document, or all of that document when it is shorter. A row that holds a
+    large share of all rows comes once, others as often as they repeat.
     """
-    texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    sized = texts.select("doc_id", "row", F.char_length("text").cast("long").alias("n_chars"))
-    ring = stage(neighbours(sized), "ring")
+    texts = _keyed(docs, key, text)
+    ring = stage(neighbours(texts.select(*KEY, "doc_id", F.char_length("text").cast("long").alias("n_chars"))), "ring")
     half = F.floor(F.col("n_chars") / 2)
-    met = texts.join(ring, "row")
+    met = _without_hot_rows(texts, ring).drop("doc_id").join(ring, KEY)
     given = met.select(
         F.col("before").alias("row"),
+        F.col("before_hash").alias("id_hash"),
         F.col("row").alias("next"),
-        F.col("doc_id").alias("next_id"),  # as in the other branch, so that both read one shuffle
+        F.col("id_hash").alias("next_hash"),
         F.substring("text", F.lit(1), F.floor(F.col("before_chars") / 2).cast("int")).alias("tail"),
-    )
-    kept = met.select("row", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
-    both = kept.join(given, "row")
+    ).dropDuplicates(KEY)
+    kept = met.select(*KEY, "doc_id", "copies", "text", F.char_length("text").cast("long").alias("n_chars"))
+    both = kept.join(given, KEY)
     head = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
-    return both.select("row", "doc_id", "n_chars", "next", "next_id", "text", F.concat(head, "tail").alias("edited"))
+    return both.select(*KEY, "doc_id", "copies", "n_chars", "next", "next_hash", "text", F.concat(head, "tail").alias("edited"))
 
 
 def compared_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES) -> DataFrame:
@@ -170,10 +203,10 @@ def compared_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPL
     Columns: doc_id, n_chars, edited_sha256, samples, edited_samples, near_edited, near_next.
     """
     # Rows that repeat id and text have met in one partition, sorted by their key: dropping them moves nothing.
-    rows = edited_documents(docs, key, text).dropDuplicates(["row"])
+    rows = edited_documents(docs, key, text).dropDuplicates(KEY)
     # Both branches name the same columns below the join of texts, so that they read the same shuffled texts.
-    keys = ["row", "doc_id", "next", "next_id"]
-    facts = rows.select(*keys, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    keys = [*KEY, "next", "next_hash"]
+    facts = rows.select(*keys, "doc_id", "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     versions = F.array(
         F.struct(F.lit(0).alias("version"), F.col("text").alias("words")),
         F.struct(F.lit(1).alias("version"), F.col("edited").alias("words")),
@@ -181,11 +214,16 @@ def compared_documents(docs: DataFrame, key="doc_id", text="text", samples=SAMPL
     spread = rows.select(*keys, F.inline(versions))
     # Grouped by the key that the rows are partitioned by already: no further shuffle.
     signed = signatures(weighted_terms(spread, [*keys, "version"], "words"), [*keys, "version"], samples)
-    signed = stage(signed.select("row", "version", "samples").join(facts, "row"), "signatures")
+    signed = stage(signed.select(*KEY, "version", "samples").join(facts, KEY), "signatures")
     own, edited = signed.where("version = 0"), signed.where("version = 1")
-    plain = own.join(edited.select("row", F.col("samples").alias("edited_samples")), "row")
-    following = own.select(F.col("row").alias("next"), F.col("samples").alias("next_samples"))
-    return plain.join(following, "next").select(
+    plain = own.join(edited.select(*KEY, F.col("samples").alias("edited_samples")), KEY)
+    following = own.select(
+        F.col("row").alias("next"),
+        F.col("id_hash").alias("next_hash"),
+        F.col("doc_id").alias("next_id"),
+        F.col("samples").alias("next_samples"),
+    )
+    return _repeated(plain.join(following, ["next", "next_hash"])).select(
         "doc_id",
         "n_chars",
         "next_id",

@@ -51,7 +51,7 @@ def test_fingerprint_query(spark, sf_dir, texts):
 
 def test_fingerprint_odd_rows(spark, odd_docs, no_docs):
     rows = fingerprint.compared_documents(odd_docs).collect()
-    assert len(rows) == odd_docs.select("doc_id", F.coalesce("text", F.lit(""))).distinct().count()
+    assert len(rows) == odd_docs.count()
     by_id = {r["doc_id"]: r for r in rows}
     assert by_id[0]["samples"] == by_id[1]["samples"] == by_id[2]["samples"] == [-1] * 64
     assert by_id[5]["samples"] == by_id[6]["samples"] == by_id[100]["samples"] == by_id[None]["samples"]
@@ -59,8 +59,20 @@ def test_fingerprint_odd_rows(spark, odd_docs, no_docs):
     assert fingerprint.compared_documents(no_docs).count() == 0
     one = spark.createDataFrame([(7, "a b c d")], "doc_id long, text string")
     assert [(r["near_next"], r["next_id"]) for r in fingerprint.compared_documents(one).collect()] == [(1.0, 7)]
-    words = fingerprint.fingerprint_documents(odd_docs).count()
-    assert words == odd_docs.select("doc_id", F.coalesce("text", F.lit(""))).distinct().count()
+    assert fingerprint.fingerprint_documents(odd_docs).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("at_once", [4096, 7])
+def test_fingerprint_of_a_repeated_row(spark, monkeypatch, at_once):
+    """A third of all rows are one row: each of them is in the result, and in the ring they are one document."""
+    monkeypatch.setattr(fingerprint, "REPEATED_AT_ONCE", at_once)
+    rows = [(k, f"word{k} and more of {k % 7}") for k in range(40)] + [(11, "word11 and more of 4")] * 19 + [(11, "other words")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = {(r["doc_id"], r["n_chars"]): r for r in fingerprint.compared_documents(docs.distinct()).collect()}
+    got = fingerprint.compared_documents(docs).collect()
+    assert len(got) == 61 and Counter((r["doc_id"], r["n_chars"]) for r in got)[11, 20] == 20
+    assert all(r == once[r["doc_id"], r["n_chars"]] for r in got)
+    assert fingerprint.fingerprint_documents(docs).count() == 61
 
 
 def brute_vectors(rows, threshold=0.93):
