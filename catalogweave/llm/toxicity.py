@@ -31,6 +31,7 @@ from .common import is_remainder, label_sample, sampled_texts, stage
 
 MAX_LABELLED = 40_000  # labelled keys, and rows, used for fitting, at most (about)
 EVIDENCE = 0.5  # least log likelihood ratio of a feature of the model, however few features there are
+BLOCK = 1024  # rows fitted at a time
 CHANCE = 3_000  # features that may reach the required ratio by chance, about
 BANDS = (3, 6)  # occurrences of strong features at which grades 2 and 3 begin
 STRONG = 3.0  # log odds from which a feature counts as strong
@@ -87,16 +88,22 @@ class OrdinalModel:
 def fit_ordinal(rows, columns, values, grades, width, levels, steps=400, rate=0.05, ridge=1e-4):
     """Weights and thresholds by full-batch gradient ascent (Adam) on the cumulative-link likelihood.
 
+    ``rows`` ascends; entries are visited in blocks of rows, so that working memory stays small.
     Thresholds are kept ordered through their logarithmic distances.
     """
     n = len(grades)
+    starts = [*range(0, n, BLOCK), n]
+    ends = np.searchsorted(rows, np.array(starts, dtype=rows.dtype))
+    blocks = list(zip(starts, starts[1:], ends, ends[1:]))
     w, base = np.zeros(width), np.array([1.0] + [0.0] * (levels - 2))
     m = [np.zeros(width), np.zeros(levels - 1)]
     v = [np.zeros(width), np.zeros(levels - 1)]
     for step in range(1, steps + 1):
         gaps = np.exp(base[1:])
         theta = base[0] + np.concatenate(([0.0], np.cumsum(gaps)))
-        margin = np.bincount(rows, values * w[columns], n)
+        margin = np.empty(n)
+        for first, last, a, b in blocks:
+            margin[first:last] = np.bincount(rows[a:b] - first, values[a:b] * w[columns[a:b]], last - first)
         above = 1 / (1 + np.exp(theta[None, :] - margin[:, None]))  # P(y > k)
         edge = np.concatenate((np.ones((n, 1)), above, np.zeros((n, 1))), axis=1)
         slope = edge * (1 - edge)
@@ -108,7 +115,9 @@ def fit_ordinal(rows, columns, values, grades, width, levels, steps=400, rate=0.
             lower, upper = grades == k, grades == k + 1  # theta_k bounds these two grades
             g_theta[k] = (slope[lower, k + 1] / p[lower]).sum() - (slope[upper, k + 1] / p[upper]).sum()
         g_base = np.array([g_theta.sum()] + [g_theta[k + 1 :].sum() * gaps[k] for k in range(levels - 2)])
-        g_w = np.bincount(columns, values * g_margin[rows], width) / n - ridge * w
+        g_w = -ridge * w
+        for first, last, a, b in blocks:
+            g_w += np.bincount(columns[a:b], values[a:b] * g_margin[rows[a:b]], width) / n
         for k, (x, g) in enumerate(((w, g_w), (base, g_base / n))):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -167,6 +176,7 @@ def fit_toxicity(
     names = counted["feature"].to_numpy()[order]
     strong = {f for f, o, n in zip(names, odds[order], a[order]) if o >= STRONG and n >= 3}
     index = {f: i for i, f in enumerate(names)}
+    del counted, a, b, odds, expected, ratio
 
     def vectors(batches):
         for batch in batches:
@@ -176,19 +186,22 @@ def fit_toxicity(
                 held = [(index[f], n) for f, n in counts.items() if f in index]
                 hits = sum(n for word, n in words_of(text).items() if not strong.isdisjoint(word_features(word)))
                 grade = 0 if label <= 0 else 1 + sum(hits >= band for band in BANDS)
-                out.append((doc, grade, [i for i, _ in held], [float(np.log1p(n)) for _, n in held]))
+                ids, counts = np.array(held, dtype=np.int32).reshape(-1, 2).T
+                out.append((doc, grade, ids.tobytes(), np.log1p(counts, dtype=np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["doc", "grade", "columns", "values"])
 
     held = rows.select("sample_key", "sample_label", "sample_text").mapInPandas(
-        vectors, f"doc {rows.schema['sample_key'].dataType.simpleString()}, grade int, columns array<int>, values array<double>"
-    )
-    found = held.toPandas().sort_values("doc", kind="stable")
-    lengths = found["columns"].map(len).to_numpy()
-    columns = np.concatenate([np.asarray(c, dtype=np.int64) for c in found["columns"]])
-    values = np.concatenate([np.asarray(c, dtype=np.float64) for c in found["values"]])
-    weights, thresholds = fit_ordinal(
-        np.repeat(np.arange(len(found)), lengths), columns, values, found["grade"].to_numpy(), len(names), len(BANDS) + 2
+        vectors, f"doc {rows.schema['sample_key'].dataType.simpleString()}, grade int, columns binary, values binary"
     )
+    # Fetched part by part: the driver holds the packed sample, and never its rows in several forms at once.
+    found = sorted(stage(held, "toxicity-vectors").toLocalIterator(), key=lambda r: r["doc"])
+    lengths = np.array([len(r["columns"]) // 4 for r in found])
+    grades = np.array([r["grade"] for r in found])
+    columns = np.frombuffer(b"".join(r["columns"] for r in found), dtype=np.int32)
+    values = np.frombuffer(b"".join(r["values"] for r in found), dtype=np.float32)
+    rows_of = np.repeat(np.arange(len(found), dtype=np.int32), lengths)
+    del found
+    weights, thresholds = fit_ordinal(rows_of, columns, values, grades, len(names), len(BANDS) + 2)
     return OrdinalModel({f: float(weights[i]) for f, i in index.items() if weights[i]}, thresholds)
 
 
