@@ -1,8 +1,10 @@
 """LM scoring with a hidden Markov model over word classes.
 
 Tokens are the lower-cased words of a text and one end. The vocabulary is counted over all
-learning documents by a shuffle of each block's distinct words (see ``blocks``); the most
-frequent words are classes of their own, all others share classes by their last letters.
+learning documents by a shuffle of each block's distinct words (see ``blocks``); frequent
+words are classes of their own, all others share classes by their last letters. Both kinds
+grow with the root of the vocabulary: a word is frequent if it holds at least one in
+``OWN`` x root of all tokens, so at most ``OWN`` x root words are.
 A hidden Markov model generates the class sequence, and each class its words by add-one
 counts, so the model gives every text a probability:
 
@@ -34,8 +36,8 @@ from .blocks import documents_of, unpack_numbers, word_blocks, words_of
 from .common import stage
 
 STATES = 8
-FREQUENT = 1024  # words that are classes of their own
-SHARED = 1024  # classes for all other words, by their last letters
+OWN = 32  # a word with 1 / (OWN x root of the vocabulary) of all tokens is a class of its own
+SHARED = 4  # classes for all other words, by their last letters, per root of the vocabulary
 ENDING = 3
 ROUNDS = 5
 GROUP_TOKENS = 500_000
@@ -123,8 +125,32 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]):
     return alphas[: begins[1]].sum(axis=0), meet * model.move, emit, float(logs.sum())
 
 
+def class_type(classes: int) -> str:
+    """The little-endian number type that class sequences are stored in."""
+    return "<u2" if classes <= 2**16 else "<u4"
+
+
+def word_classes(counted: DataFrame) -> tuple[DataFrame, int]:
+    """(word, c, class) of every word of a table (word, c), and the number of classes.
+
+    Only words that learning documents hold (c > 0) make up the vocabulary.
+    """
+    spark, known = counted.sparkSession, counted.where("c > 0")
+    total, distinct = known.agg(F.sum("c"), F.count("*")).first()
+    root = math.sqrt(distinct)
+    frequent = known.where(F.col("c") * (OWN * root) >= F.lit(total)).select("word", "c").collect()
+    ranked = sorted(frequent, key=lambda r: (-r["c"], r["word"]))
+    own = spark.createDataFrame([(r["word"], k) for k, r in enumerate(ranked)], "word string, class int")
+    endings = max(1, math.ceil(SHARED * root))
+    shared = (F.pmod(F.xxhash64(F.right("word", F.lit(ENDING))), F.lit(endings)) + len(ranked)).cast("int")
+    # At most OWN x root rows, since their counts add up to no more than all tokens.
+    classed = counted.join(F.broadcast(own), "word", "left").withColumn("class", F.coalesce("class", shared))
+    return classed, len(ranked) + endings
+
+
 def train(documents: DataFrame, classes: int, shares: np.ndarray, rounds=ROUNDS) -> Hmm:
-    """Baum-Welch over a staged table with a ``classes`` column of little-endian 16-bit numbers."""
+    """Baum-Welch over a staged table with a ``classes`` column of numbers of ``class_type``."""
+    kind = class_type(classes)
     model = _first_guess(shares)
     cells = STATES + STATES * STATES + classes * STATES
 
@@ -134,7 +160,7 @@ def train(documents: DataFrame, classes: int, shares: np.ndarray, rounds=ROUNDS)
         def count(batches, current=current):
             total = np.zeros(cells + 1)
             for batch in batches:
-                sequences = [np.frombuffer(v.as_py(), dtype="<u2") for v in batch.column("classes")]
+                sequences = [np.frombuffer(v.as_py(), dtype=kind) for v in batch.column("classes")]
                 for group in _groups(sequences):
                     start, move, emit, log = expected_counts(current, [sequences[k] for k in group])
                     total += np.concatenate((start, move.ravel(), emit.ravel(), [log]))
@@ -158,19 +184,14 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
     Scores are log10 probabilities: ``base_score`` under add-one word counts, ``score`` under
     the hidden Markov model.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = word_blocks(docs, cut_tokens, buckets, ~held_out, key, text)
     zipped = F.arrays_zip(F.col("numbers").alias("code"), F.col("words").alias("word"), F.col("counts").alias("n"))
     entries = words_of(blocks).select("block", F.inline(zipped))
     counted = stage(entries.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    ranked = counted.where("c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).select("word").collect()
-    frequent = spark.createDataFrame([(r[0], k) for k, r in enumerate(ranked)], "word string, class int")
-    shared = (F.pmod(F.xxhash64(F.right("word", F.lit(ENDING))), F.lit(SHARED)) + FREQUENT).cast("int")
-    # At most FREQUENT rows.
-    classed = counted.join(F.broadcast(frequent), "word", "left").withColumn("class", F.coalesce("class", shared))
+    classed, size = word_classes(counted)
+    stored = class_type(size)
     per_class = classed.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).toPandas()
-    size = FREQUENT + SHARED
     tokens, words = np.zeros(size), np.zeros(size)
     tokens[per_class["class"]], words[per_class["class"]] = per_class["n"], per_class["v"]
     total, distinct = int(tokens.sum()), int(words.sum())
@@ -180,7 +201,7 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
 
     def translate(documents: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         code = entries["code"].to_numpy()
-        known, kinds = np.zeros(len(code), np.int64), np.zeros(len(code), "<u2")
+        known, kinds = np.zeros(len(code), np.int64), np.zeros(len(code), stored)
         known[code], kinds[code] = entries["c"].to_numpy(), entries["class"].to_numpy()
         logs = np.log10(known + 1.0)
         own = [unpack_numbers(codes) for codes in documents["codes"]]
@@ -204,7 +225,7 @@ def lm_scores(docs: DataFrame, held_out: Column, key="doc_id", text="text", roun
     per_token = np.log10(tokens + words + 1.0)
 
     def score(classes: pd.Series) -> pd.Series:
-        sequences = [np.frombuffer(v, dtype="<u2") for v in classes]
+        sequences = [np.frombuffer(v, dtype=stored) for v in classes]
         out = np.zeros(len(sequences))
         for group in _groups(sequences):
             out[group] = forward(model, [sequences[k] for k in group])[0] / math.log(10)
