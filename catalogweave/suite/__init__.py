@@ -1,8 +1,8 @@
 """Named queries over the driver tables, each with its SQL oracle where SQL can say it."""
 
-from . import cleaning, loading, merging, pages, profiling, recommending, scanning, tagging
+from . import cleaning, loading, merging, page_sql, pages, profiling, recommending, scanning, tagging
 
-GROUPS = (recommending, cleaning, pages, tagging, merging, profiling, loading, scanning)
+GROUPS = (recommending, cleaning, pages, page_sql, tagging, merging, profiling, loading, scanning)
 
 
 def all_queries() -> dict:
