@@ -66,8 +66,9 @@ def build_index(store: DataFrame, lists: int = LISTS) -> VectorIndex:
     schema = f"fic_id bigint, embedding {store.schema['embedding'].dataType.simpleString()}, list int, angle double"
     dealt = staged(store.select(F.col("fic_id").cast("bigint"), "embedding").mapInArrow(deal, schema), "index-vectors")
     found = dealt.groupBy("list").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
-    table = pa.table({"list": pa.array(range(len(centroids)), pa.int32()), "centroid": [c.tolist() for c in centroids]})
-    centres = store.sparkSession.createDataFrame(table.to_pandas(), "list int, centroid array<double>")
+    # Plain Python numbers: a session without Arrow conversion takes no others.
+    rows = [(number, centroid.tolist()) for number, centroid in enumerate(centroids)]
+    centres = store.sparkSession.createDataFrame(rows, "list int, centroid array<double>")
     return VectorIndex(dealt, staged(centres.join(found, "list"), "index-lists"))
 
 

@@ -91,3 +91,15 @@ def test_empty_index(spark, store):
     queries = store.limit(2).withColumnRenamed("fic_id", "query_id")
     assert retrieve_indexed(empty, queries, 3).count() == 0
     assert retrieve_indexed(build_index(store), queries.where("false"), 3).count() == 0
+
+
+def test_index_without_arrow_conversion(spark, store):
+    """A plain session converts row by row and takes Python numbers only."""
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        index = build_index(store, 8)
+        assert sum(r["n"] for r in index.lists.collect()) == store.count()
+    finally:
+        spark.conf.set(key, before)
