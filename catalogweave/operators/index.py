@@ -11,8 +11,8 @@ centroid than from its closest one (all by the triangle inequality). A search ha
 2. Of all other lists only those whose bound reaches the floor are visited. The rest is certified
    to hold nothing better, so the result equals a scan of the whole store, ties included.
 
-Queries and vectors meet list by list: a list is cut into blocks of bounded size, each a key of its
-own, so a crowded list is many tasks. The index stores its lists as folders, and a search for one
+Queries and vectors meet list by list: a list and its visitors are cut into cells of bounded size, each
+a key of its own, so a crowded list is many tasks. The index stores its lists as folders, and a search for one
 vector reads only the folders it visits.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .retrieve import BLOCK_ROWS, CANDIDATE_SCHEMA, _require_positive, _vectors, best_per_query, compare_blocks
+from .retrieve import BLOCK_ROWS, CANDIDATE_SCHEMA, _require_positive, _vectors, best_per_query, cell_rows, compare_cells
 
 LISTS = 256
 MOST_LISTS = 4096
@@ -140,6 +140,7 @@ def _searched(index: VectorIndex, queries: DataFrame, k: int, block_rows: int) -
     if not len(lists.numbers):
         return spark.createDataFrame([], CANDIDATE_SCHEMA), spark.createDataFrame([], "query_id long, list int")
     queries = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    dim = lists.centroids.shape[1]
 
     def visits(second: bool):
         def run(batches):
@@ -162,33 +163,24 @@ def _searched(index: VectorIndex, queries: DataFrame, k: int, block_rows: int) -
 
     schema = "query_id bigint, embedding array<double>, list int"
     near = staged(queries.mapInArrow(visits(False), schema), "index-first")
-    found = staged(_met(index, near, k, block_rows), "index-found")
+    found = staged(_met(index, near, dim, k, block_rows), "index-found")
     # The k-th best so far; a query that has not k yet must look everywhere.
     floors = best_per_query(found, k).where(F.col("place") == k).select("query_id", F.col("sim").alias("floor"))
     again = queries.join(floors, "query_id", "left").select("query_id", "embedding", "floor")
     rest = staged(again.mapInArrow(visits(True), schema), "index-second")
-    whole = found.unionByName(_met(index, rest, k, block_rows))
+    whole = found.unionByName(_met(index, rest, dim, k, block_rows))
     return whole, near.select("query_id", "list").unionByName(rest.select("query_id", "list"))
 
 
-def _met(index: VectorIndex, probes: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """The best k of each visited list for each of its visitors."""
-    lists = index.lists.select("list", "n")
+def _met(index: VectorIndex, probes: DataFrame, dim: int, k: int, block_rows: int) -> DataFrame:
+    """The best k of each visited list for each of its visitors, in cells of bounded size."""
     visitors = probes.groupBy("list").agg(F.count("*").alias("visitors"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("visitors") / block_rows)).cast("int")
-    asked = probes.join(visitors, "list").withColumn("piece", F.pmod(F.xxhash64("query_id"), pieces))
-    asked = asked.groupBy("list", "piece").agg(F.collect_list(F.struct("query_id", "embedding")).alias("rows"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int")
-    asked = asked.join(lists, "list").select(
-        "list",
-        F.concat_ws("-", "list", "piece").alias("query_block"),
-        F.col("rows.query_id").alias("query_ids"),
-        F.col("rows.embedding").alias("query_vectors"),
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-    )
-    visited = index.vectors.join(visitors.select("list"), "list", "left_semi")
-    held = visited.join(lists, "list").withColumn("block", F.pmod(F.xxhash64("fic_id"), blocks).cast("int"))
-    held = held.groupBy("list", "block").agg(F.collect_list(F.struct("fic_id", "embedding")).alias("rows"))
-    held = held.select("list", "block", F.col("rows.fic_id").alias("ids"), F.col("rows.embedding").alias("vectors"))
-    met = asked.join(held, ["list", "block"]).select("query_block", "query_ids", "query_vectors", "ids", "vectors")
-    return met.mapInArrow(compare_blocks(k), CANDIDATE_SCHEMA)
+    query_cells, cells = (F.ceil(F.col(n) / most).cast("int") for n, most in (("visitors", cell_rows(dim, k)), ("n", cell_rows(dim))))
+    sized = visitors.join(index.lists.select("list", "n"), "list").select("list", query_cells.alias("qs"), cells.alias("cs"))
+    place = lambda id_column, n: F.pmod(F.xxhash64(id_column), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    list_ = lambda name: F.col("list").alias(name)
+    asked = probes.join(sized, "list").select(F.col("query_id").alias("id"), F.col("embedding").alias("query"), list_("a"), place("query_id", "qs").alias("q"), every("cs").alias("c"))
+    held = index.vectors.join(sized, "list").select(F.col("fic_id").alias("held"), F.col("embedding").alias("vector"), list_("b"), every("qs").alias("x"), place("fic_id", "cs").alias("y"))
+    met = asked.groupBy("a", "q", "c").cogroup(held.groupBy("b", "x", "y"))
+    return met.applyInArrow(compare_cells(k, block_rows), CANDIDATE_SCHEMA)

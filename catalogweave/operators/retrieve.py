@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin
-
 RANK_DECIMALS = 12
 BROADCAST_LIMIT_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 _QUERY_SLICE = 256
-_STATE_ROWS = 4_000_000
+_STORE_SLICE = 2048
+CELL_BYTES = 32 << 20  # of the vectors of one side of a cell, as doubles
+_RESULT_BYTES = 48  # a kept result in a task's state, and once more when it is handed over
 
 CANDIDATE_SCHEMA = "query_id bigint, fic_id bigint, sim double"
 
@@ -59,6 +59,9 @@ class _Best:
                 self._merge(start + row, ids[keep], sims[row, keep])
 
     def _merge(self, q, ids, sims):
+        if len(sims) > 4 * self.k:  # sort only what can be among the best, ties included
+            keep = sims >= np.partition(sims, len(sims) - self.k)[len(sims) - self.k]
+            ids, sims = ids[keep], sims[keep]
         ids, sims = np.concatenate([self.ids[q], ids]), np.concatenate([self.sims[q], sims])
         best = np.lexsort((ids, -sims))[: self.k]
         self.ids[q], self.sims[q] = ids[best], sims[best]
@@ -100,20 +103,20 @@ def retrieve(
 ) -> DataFrame:
     """(query_id, fic_id, sim, place) for every row of ``queries`` (query_id, embedding).
 
-    Queries whose matrix stays within ``broadcast_limit`` are shipped to every
-    task of the store scan. More queries are cut into blocks that meet the
-    store's blocks in the cells of a balanced grid; both ways give the same rows.
+    Queries whose matrix and results stay within ``broadcast_limit`` are shipped to every
+    task of the store scan. More queries meet the store in the cells of a balanced grid,
+    a group of bounded size each; both ways give the same rows.
     """
     _require_positive(k)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if not size["n"]:
         return store.sparkSession.createDataFrame([], CANDIDATE_SCHEMA + ", place int")
-    if size["n"] * size["dim"] * 8 <= broadcast_limit:
+    if size["n"] * (size["dim"] * 8 + k * _RESULT_BYTES) <= broadcast_limit:
         table = queries.select("query_id", "embedding").toArrow().combine_chunks()
         ids = table.column("query_id").combine_chunks().to_numpy()
         partial = _scan(store, ids, _vectors(table.column("embedding").combine_chunks()), k)
     else:
-        partial = _block_join(store, queries, size["n"], k, block_rows)
+        partial = _block_join(store, queries, size, k, block_rows)
     return best_per_query(partial, k)
 
 
@@ -130,66 +133,58 @@ def _scan(store, query_ids, queries, k):
     return store.select("fic_id", "embedding").mapInArrow(scan, CANDIDATE_SCHEMA)
 
 
-def _packed(frame, id_column, blocks):
-    """Rows hashed into blocks; one row per block with its ids and vectors."""
-    block = F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int")
-    grouped = frame.select(block.alias("block"), F.struct(F.col(id_column).alias("id"), "embedding").alias("row"))
-    rows = grouped.groupBy("block").agg(F.collect_list("row").alias("rows"))
-    return rows.select("block", F.col("rows.id").alias("ids"), F.col("rows.embedding").alias("vectors"))
+def cell_rows(dim: int, k: int = 0) -> int:
+    """How many vectors, or queries with the ``k`` results of each, a cell of a grid may hold."""
+    return max(1, CELL_BYTES // max(8 * dim, 8 * k))
 
 
-def _block_join(store, queries, n_queries, k, block_rows):
+def _block_join(store, queries, size, k, block_rows):
     spark = store.sparkSession
-    query_blocks = max(1, -(-n_queries // block_rows))
-    store_blocks = max(1, -(-store.count() // block_rows))
-    # Ids are unique, so hashing fills the blocks evenly; no block grows with the data.
-    left = pin(_packed(queries, "query_id", query_blocks)).withColumnsRenamed(
-        {"block": "query_block", "ids": "query_ids", "vectors": "query_vectors"}
-    )
-    # A grid of groups x salts cells: query blocks are sent once per salt and store blocks
-    # once per group, and the two volumes are kept about equal.
+    n_queries, n_store, dim = size["n"], store.count(), size["dim"]
+    query_blocks, store_blocks = max(1, -(-n_queries // block_rows)), max(1, -(-n_store // block_rows))
+    # A grid of groups x salts cells: queries are sent once per salt and stored vectors once per
+    # group, and the two volumes are kept about equal. Hashing fills the cells evenly, and their
+    # number grows with the data, so no cell does.
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = min(query_blocks, max(1, round(sqrt(tasks * query_blocks / store_blocks))))
     salts = min(store_blocks, max(1, -(-tasks // groups)))
-    left = left.withColumn("query_group", F.pmod("query_block", F.lit(groups)))
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = _packed(store, "fic_id", store_blocks).select(
-        "ids",
-        "vectors",
-        F.pmod("block", F.lit(salts)).alias("salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("query_group"),
-    )
-    met = left.join(right, ["query_group", "salt"]).select(
-        "query_block", "query_ids", "query_vectors", "ids", "vectors"
-    )
+    groups, salts = max(groups, -(-n_queries // cell_rows(dim, k))), max(salts, -(-n_store // cell_rows(dim)))
 
-    return met.mapInArrow(compare_blocks(k), CANDIDATE_SCHEMA)
+    def hashed(column, cells):
+        return F.pmod(F.xxhash64(column), F.lit(cells)).cast("int")
 
+    def every(cells):
+        return F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
 
-def compare_blocks(k):
-    """Task-side: the best k of each block of vectors for each query of the block of queries it meets."""
+    # New names on both sides: queries are often made from the store itself.
+    left = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("query"), hashed("query_id", groups).alias("group"), every(salts).alias("salt"))
+    right = store.select(F.col("fic_id").alias("held"), F.col("embedding").alias("vector"), every(groups).alias("groups"), hashed("fic_id", salts).alias("salts"))
+    cells = left.groupBy("group", "salt").cogroup(right.groupBy("groups", "salts"))
+    return cells.applyInArrow(compare_cells(k, block_rows), CANDIDATE_SCHEMA)
 
-    def compare(batches):
-        # Rows of one query block mostly arrive together; their best k are merged
-        # here, and flushed early only to bound this task's memory.
-        open_blocks, held = {}, 0
-        for batch in batches:
-            for i in range(len(batch)):
-                key = batch.column("query_block")[i].as_py()
-                if key not in open_blocks:
-                    ids = batch.column("query_ids")[i].values.to_numpy()
-                    open_blocks[key] = _Best(ids, _vectors(batch.column("query_vectors")[i].values), k)
-                    held += len(ids) * k
-                vectors = batch.column("vectors")[i].values
-                open_blocks[key].offer(batch.column("ids")[i].values.to_numpy(), _vectors(vectors))
-                if held > _STATE_ROWS:
-                    yield from (best.rows() for best in open_blocks.values())
-                    open_blocks, held = {}, 0
-        yield from (best.rows() for best in open_blocks.values())
+
+def compare_cells(k, block_rows):
+    """Task-side: the best k of a cell's vectors (held, vector) for each of its queries (id, query), ``block_rows`` queries at a time."""
+
+    def compare(left, right):
+        found = [_Best(np.empty(0, np.int64), np.empty((0, 0)), k).rows()]
+        if left.num_rows and right.num_rows:
+            query_ids, queries = _ids_and_units(left, "id", "query")
+            ids, vectors = _ids_and_units(right, "held", "vector")
+            for start in range(0, len(query_ids), block_rows):
+                best = _Best(query_ids[start : start + block_rows], queries[start : start + block_rows], k)
+                for at in range(0, len(ids), _STORE_SLICE):
+                    best.offer(ids[at : at + _STORE_SLICE], vectors[at : at + _STORE_SLICE])
+                found.append(best.rows())
+        return pa.Table.from_batches(found)
 
     return compare
 
 
+def _ids_and_units(table: pa.Table, id_column: str, vector_column: str):
+    return table.column(id_column).combine_chunks().to_numpy(), _vectors(table.column(vector_column).combine_chunks())
+
+
 def missing_queries(store: DataFrame, query_ids: DataFrame) -> DataFrame:
     """Asked-for works without a stored vector; batch results leave them out."""
     return query_ids.select("query_id").join(

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from catalogweave.operators import pruned
+from catalogweave.operators import pruned, retrieve as retrieval
 from catalogweave.operators.index import build_index, lists_read, read_index, retrieve_indexed, retrieve_vector_indexed, write_index
 from catalogweave.operators.pairwise import pairwise_similarity
 from catalogweave.operators.pruned import pairwise_pruned, pairwise_work
@@ -103,3 +104,40 @@ def test_index_without_arrow_conversion(spark, store):
         assert sum(r["n"] for r in index.lists.collect()) == store.count()
     finally:
         spark.conf.set(key, before)
+
+
+def test_cells_are_bounded_and_lose_nothing(spark, store, monkeypatch):
+    """Neither the queries nor the vectors that a task holds grow with the data."""
+    monkeypatch.setattr(retrieval, "CELL_BYTES", 8 * 32 * 100)
+    compare_cells = retrieval.compare_cells
+    sizes = spark.sparkContext.accumulator(0)
+
+    def watched(k, block_rows):
+        compare = compare_cells(k, block_rows)
+
+        def run(left, right):
+            if max(left.num_rows, right.num_rows) > 200:
+                sizes.add(1)
+            return compare(left, right)
+
+        return run
+
+    monkeypatch.setattr(retrieval, "compare_cells", watched)
+    queries = store.withColumnRenamed("fic_id", "query_id")
+
+    def rows(frame):
+        return sorted((r["query_id"], r["place"], r["fic_id"], round(r["sim"], 9)) for r in frame.collect())
+
+    queries = store.join(queries.select("query_id"), store["fic_id"] == F.col("query_id"), "left_semi").select(F.col("fic_id").alias("query_id"), "embedding")
+    want = rows(retrieve(store, queries, 4))
+    assert rows(retrieve(store, queries, 4, broadcast_limit=0)) == want and sizes.value == 0
+    assert rows(retrieve_indexed(build_index(store, 3), queries, 4)) == want
+
+
+def test_results_count_against_the_broadcast(spark, store, monkeypatch):
+    """Queries with many results each go to the grid: a task of the scan would hold all of them."""
+    used = []
+    monkeypatch.setattr(retrieval, "_scan", lambda *given: used.append("scan"))
+    monkeypatch.setattr(retrieval, "_block_join", lambda *given: used.append("grid") or spark.createDataFrame([], retrieval.CANDIDATE_SCHEMA))
+    retrieve(store, store.withColumnRenamed("fic_id", "query_id"), 500, broadcast_limit=1 << 20)
+    assert used == ["grid"]
