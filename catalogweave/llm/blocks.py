@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_by
+from .common import release_memory, stage_by
 
 MOST_WORDS = 350_000
 MOST_OCCURRENCES = 2_500_000
@@ -96,11 +96,17 @@ def word_blocks(docs: DataFrame, cut, buckets: int, counted: Column, key="doc_id
                 codes.append(own)
                 size += len(own)
                 if size > MOST_OCCURRENCES or len(place) > MOST_WORDS:
-                    yield closed((task << 24) + next(blocks), id_type, ids, flags, codes, place)
+                    done = closed((task << 24) + next(blocks), id_type, ids, flags, codes, place)
                     ids, flags, codes, size = [], [], [], 0
-                    place = defaultdict(itertools.count().__next__)
+                    place = defaultdict(itertools.count().__next__)  # gone before the block is handed over
+                    yield done
+                    del done
         if ids:
-            yield closed((task << 24) + next(blocks), id_type, ids, flags, codes, place)
+            done = closed((task << 24) + next(blocks), id_type, ids, flags, codes, place)
+            del ids, flags, codes, place
+            yield done
+            del done
+        release_memory()
 
     return stage_by(known.mapInArrow(run, schema), "blocks", "block", buckets)
 

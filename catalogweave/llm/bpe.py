@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import pack_numbers, unpack_numbers, word_blocks, words_of
-from .common import worker_cache
+from .common import release_memory, worker_cache
 
 SLICE = 512  # documents decoded at a time
 REMEMBERED = 1_000_000  # words whose ids a task remembers; beyond that it starts afresh
@@ -87,6 +87,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text")
         for batch in batches:
             words = [_deflated([w.encode() for w in v.as_py()]) for v in batch.column("words")]
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(words)], packed)
+            del words, batch
+        release_memory()
 
     def encode_words(batches):
         encoder, known = _vocabulary(ranks, pattern)[0], {}
@@ -104,6 +106,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key="doc_id", text="text")
                 sizes.append(pack_numbers(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
                 flat.append(pack_numbers(np.frombuffer(b"".join(parts), "<u4")))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(sizes), pa.array(flat)], done)
+            del sizes, flat, batch
+        known.clear()
+        release_memory()
 
     packed, done = ["block", "bucket", "words"], ["in_block", "in_bucket", "sizes", "ids"]
     words = words_of(blocks).select(*packed).mapInArrow(pack_words, "block long, bucket int, words binary")

@@ -1,9 +1,11 @@
 """Small helpers shared by the operators: staging, folds, bounded label samples."""
 
+import ctypes
 import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,3 +104,11 @@ def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, shared by all its tasks."""
     module = sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache"))
     return module.__dict__.setdefault(name, {})
+
+
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system: its Python worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

@@ -146,3 +146,27 @@ def test_odd_rows(spark, odd_docs, no_docs, tokenizer, monkeypatch, most):
     assert pieces["doc_id"].isna().sum() == 1 and pieces.loc[pieces["doc_id"] == 0, "length"].tolist() == [1]
     assert packing.pack(packing.pieces(no_docs, JSON)).count() == 0
     assert bpe.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """An idle Python worker does not keep what its last task has freed."""
+    import os
+    import sys
+
+    import pytest
+
+    from catalogweave.llm.common import release_memory
+
+    if sys.platform != "linux":
+        pytest.skip("reads /proc")
+
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    held = [bytearray(b"x" * 50_000) for _ in range(4000)]
+    kept = held[::400]  # scattered, so the heap cannot simply shrink
+    full = resident()
+    del held
+    release_memory()
+    assert len(kept) == 10 and resident() < full - (150 << 20)
