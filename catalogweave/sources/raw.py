@@ -116,19 +116,26 @@ def csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[s
     The header is the first line of a file. One line per file reaches the driver, which
     lists the files anyway.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    first = (
-        lines.where("_metadata.file_block_start = 0")
-        .select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-        .groupBy("file")
-        .agg(F.min_by("value", "at").alias("header"))
-    )
+    first = first_lines(spark.read.option("recursiveFileLookup", "true").text(path))
     files = {}
     for row in first.orderBy("file").toLocalIterator():
         files.setdefault(row["header"], []).append(row["file"])
     return [(cells_of(header), own) for header, own in files.items()] or [(list(RAW_COLUMNS), path)]
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(file, header): the first line of every file of a text scan.
+
+    Places are compared first and the few texts fetched by them, because a smallest text per file would have
+    all lines sorted in memory. Both scans are of one listing, so they number lines alike.
+    """
+    numbered = lines.where("_metadata.file_block_start = 0").select(
+        F.col("value").alias("header"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")
+    )
+    places = numbered.groupBy("file").agg(F.min("at").alias("at"))
+    return numbered.join(F.broadcast(places.select("at")), "at").select("file", "header")
+
+
 def _csv_scan(reader, header: list[str], files) -> DataFrame:
     """One scan of files with the same header, reduced to the raw columns by name."""
     fields = _header_fields(header)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogweave.sources.csv_records import csv_records, largest_file
-from catalogweave.sources.raw import _bytes, number_rows, read_raw_works
+from catalogweave.sources.raw import _bytes, csv_headers, first_lines, number_rows, read_raw_works
 
 ALPHABET = ["a", "B", "é", '"', ",", "\n", "\r\n", " ", "'", "\\", "\t", "\n\n", "字"]
 NAMES = ["title", "url", "words", "summary"]
@@ -89,3 +89,12 @@ def test_large_files_are_split_by_themselves(small_splits, tmp_path):
     found = read_raw_works(small_splits, str(tmp_path))
     assert found.count() == 301 and found.select("src_block").distinct().count() > 5
     assert [_bytes(s) for s in ("600", "64k", "128MB", "134217728b", "2g")] == [600, 65536, 128 << 20, 128 << 20, 2 << 30]
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path):
+    for k, names in enumerate((NAMES, NAMES[::-1], NAMES)):
+        write_file(tmp_path / f"f{k}.csv", [names, *[[f"{k}-{r}", "u", "1", "a\nb"] for r in range(20)]])
+    found = csv_headers(spark, str(tmp_path))
+    assert sorted((names, len(files)) for names, files in found) == sorted([(NAMES, 2), (NAMES[::-1], 1)])
+    plan = first_lines(spark.read.text(str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
