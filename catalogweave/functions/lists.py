@@ -1,7 +1,7 @@
 """List columns stored as literal text, e.g. ``['a', "it's"]``.
 
-Nearly all such text has no escapes and is parsed by Spark's own expressions.
-Whatever does not match that simple shape goes through one Arrow function.
+Nearly all such text has no escapes and is parsed by Spark's own expressions, as is plain text
+that begins with a word. Whatever has neither shape goes through one Arrow function.
 """
 
 import ast
@@ -18,12 +18,28 @@ from .text import trim_spaces
 _QUOTED = r"""(?:'[^'\\\n\r\x00]*+'|"[^"\\\n\r\x00]*+")"""
 _SIMPLE_LIST = rf"^\[ *+{_QUOTED}(?: *+, *+{_QUOTED})*+ *+\]$"
 
+# Text whose first token is a name is never a literal, whatever follows: at best its syntax tree has that name as a
+# leaf. Not names are constants, set(), a string's prefix, and letters that Unicode folds to others.
+_BARE_TEXT = r"""^(?!(?:True|False|None|set)(?![A-Za-z0-9_]))[A-Za-z_][A-Za-z0-9_]*+(?!['"]|[^\x00-\x7f])"""
+
+# Lists of quoted items with escapes that mean the same everywhere.
+_ESCAPE = r"""\\(?:['"\\abfnrtv]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4})"""
+_ESCAPED = rf"""(?:'(?:[^'\\\n\r\x00]|{_ESCAPE})*+'|"(?:[^"\\\n\r\x00]|{_ESCAPE})*+")"""
+_ITEM = re.compile(_ESCAPED)
+_ESCAPED_LIST = re.compile(rf"\[ *+{_ESCAPED}(?: *+, *+{_ESCAPED})*+ *+\]")
+
 # Whole texts that mean "no items".
 _EMPTY_TEXTS = ("", "[]", "nan", "None")
 
 
+def _unescaped(text: str) -> str:
+    return text.encode("latin-1", "backslashreplace").decode("unicode_escape") if "\\" in text else text
+
+
 def _items_of(text: str) -> list[str]:
     """Items of one literal that needs Python's own reading of the text."""
+    if _ESCAPED_LIST.fullmatch(text):
+        return [item for item in (_unescaped(quoted[1:-1]).strip() for quoted in _ITEM.findall(text)) if item]
     try:
         parsed = ast.literal_eval(text)
     except (SyntaxError, ValueError, MemoryError, RecursionError):
@@ -40,17 +56,22 @@ def _parse_rest(texts: pd.Series) -> pd.Series:
 
 def parse_list(text: Column) -> Column:
     """List literal text to ARRAY<STRING>: items trimmed, blanks dropped, never NULL."""
-    trimmed = trim_spaces(text)
+    return items_of(trim_spaces(text))
+
+
+def items_of(trimmed: Column) -> Column:
+    """``parse_list`` of a text without white space around it."""
     empty = trimmed.isNull() | trimmed.isin(*_EMPTY_TEXTS)
-    simple = trimmed.rlike(_SIMPLE_LIST)
-    quoted = F.regexp_extract_all(trimmed, F.lit(_QUOTED), F.lit(0))
-    items = F.transform(quoted, lambda q: trim_spaces(F.substring(q, F.lit(2), F.length(q) - 2)))
+    plain = trimmed.rlike(_SIMPLE_LIST) | trimmed.rlike(_BARE_TEXT)
     # A Python function is evaluated for every row, so it is fed NULL for all
-    # the rows that do not need it.
-    rest = _parse_rest(F.when(~empty & ~simple, trimmed))
+    # the rows that do not need it; what it returns is never NULL otherwise.
+    rest = _parse_rest(F.when(~empty & ~plain, trimmed))
+    quoted = F.regexp_extract_all(trimmed, F.lit(_QUOTED), F.lit(0))
+    listed = F.transform(quoted, lambda q: trim_spaces(F.substring(q, F.lit(2), F.length(q) - 2)))
+    split = F.transform(F.split(trimmed, ","), trim_spaces)
     none = F.array().cast("array<string>")
-    parsed = F.when(simple, drop_blank(items)).when(~empty, rest)
-    return F.coalesce(parsed, none)
+    items = F.when(trimmed.startswith("["), drop_blank(listed)).otherwise(drop_blank(split))
+    return F.coalesce(rest, F.when(~empty, items), none)
 
 
 def drop_blank(items: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lists import parse_list
+from ..functions.lists import items_of
 from ..schemas import (
     INTEGER_COLUMNS,
     RAW_COLUMNS,
@@ -19,48 +19,60 @@ from ..session import spread
 BAD_ROW = "bad_row"  # the fault, and the scan's column that marks it
 
 
-def fault_of(raw: DataFrame):
+_GIVEN = "given:"  # columns with the text of an integer column, kept beside its value until faults are noted
+
+
+def fault_of(columns: list[str]):
     """Why a row cannot be stored: ``bad_row`` (more or fewer cells than the header), or the first
-    value that holds something unusable, ``bad_int:<column>`` or ``bad_status``."""
+    value that holds something unusable, ``bad_int:<column>`` or ``bad_status``.
+
+    Reads cleaned values and, for integers, the texts they were read from."""
     fault = F.when(F.lit(False), F.lit(""))
-    if BAD_ROW in raw.columns:
+    if BAD_ROW in columns:
         fault = fault.when(F.col(BAD_ROW), F.lit(BAD_ROW))
     for c in INTEGER_COLUMNS:
-        if c in raw.columns:
-            fault = fault.when(X.is_bad_int(F.col(c)), F.lit(f"bad_int:{c}"))
-    if "status" in raw.columns:
-        status = X.clean_status(X.clean_text(F.col("status")))
-        fault = fault.when(~status.isin(*STATUS_DOMAIN), F.lit("bad_status"))
+        if c in columns:
+            fault = fault.when(F.col(f"{_GIVEN}{c}").isNotNull() & F.col(c).isNull(), F.lit(f"bad_int:{c}"))
+    if "status" in columns:
+        fault = fault.when(~F.col("status").isin(*STATUS_DOMAIN), F.lit("bad_status"))
     return fault
 
 
 def clean_works(raw: DataFrame) -> DataFrame:
-    """Typed columns from text columns, in one narrow projection.
+    """Typed columns from text columns, in narrow projections.
 
     Columns that are missing from ``raw`` stay missing. ``fault`` names the first
     unusable value, which must be noted before absent counts turn into zeros;
     ``date_lost`` marks a date text that no layout reads (the date becomes NULL).
+    Each projection refers to values of the one before by name, so a text is
+    cleaned once, however many outputs depend on it.
     """
-    cleaned = []
-    for column in raw.columns:
-        value = F.col(column)
-        if column in TEXT_COLUMNS:
-            value = X.clean_text(value)
-        if column in INTEGER_COLUMNS:
-            value = X.clean_int(value)
-        if column == "status":
-            value = X.clean_status(value)
-        if column == "last_date":
-            value = X.clean_date(value)
-        if column in TAG_KINDS:
-            value = parse_list(value) if _is_text(raw, column) else _trimmed(value)
-        if column in ZERO_DEFAULT_COLUMNS:
-            value = F.coalesce(value, F.lit(0))
-        cleaned.append(value.alias(column))
-    lost = F.lit(False)
-    if "last_date" in raw.columns:
-        lost = X.is_bad_date(F.col("last_date"))
-    return spread(raw).select(*cleaned, fault_of(raw).alias("fault"), lost.alias("date_lost"))
+    columns = raw.columns
+    integers = [c for c in INTEGER_COLUMNS if c in columns]
+    trimmed = [c for c in columns if c == "last_date" or c in TAG_KINDS and _is_text(raw, c)]
+    tidy = spread(raw).select(
+        *[_tidy(c, c in trimmed).alias(c) for c in columns if c not in integers],
+        *[X.digits_of(F.col(c)).alias(f"{_GIVEN}{c}") for c in integers],
+    )
+    dated = X.date_of(F.col("last_date"))
+    lost = X.blank_to_null(F.col("last_date")).isNotNull() & dated.isNull() if "last_date" in columns else F.lit(False)
+    read = {"last_date": dated} | {c: items_of(F.col(c)) for c in TAG_KINDS}
+    texts = tidy.select(*[read[c].alias(c) if c in trimmed else F.col(f"`{c}`") for c in tidy.columns], lost.alias("date_lost"))
+    typed = texts.withColumns({c: F.col(f"{_GIVEN}{c}").try_cast("int") for c in integers})
+    if "status" in columns:
+        typed = typed.withColumn("status", X.clean_status(F.col("status")))
+    cleaned = [F.coalesce(c, F.lit(0)).alias(c) if c in ZERO_DEFAULT_COLUMNS else F.col(c) for c in columns]
+    return typed.select(*cleaned, fault_of(columns).alias("fault"), "date_lost")
+
+
+def _tidy(column: str, trimmed: bool):
+    """A column's value without stray white space."""
+    value = F.col(column)
+    if column in TEXT_COLUMNS:
+        return X.clean_text(value)
+    if trimmed:
+        return X.trim_spaces(value)
+    return _trimmed(value) if column in TAG_KINDS else value
 
 
 def with_missing_columns(frame: DataFrame) -> DataFrame:

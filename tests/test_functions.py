@@ -6,10 +6,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from catalogweave.functions import lists
 from catalogweave.functions import scores as S
 from catalogweave.functions import text as X
 from catalogweave.functions import urls as U
 from catalogweave.functions.lists import list_text, parse_list
+from catalogweave.operators.clean import clean_works
 
 
 def apply(spark, make, inputs, kind="string"):
@@ -71,6 +73,27 @@ def test_parse_list(spark):
     assert got == [items for _, items in LIST_CASES]
 
 
+BARE = ["Fluff, 5-LOW,", "True", "True, x", "Truex, y", "None, None", "set()", "set ()", "sets()", "u'x'", "b, 'c'", "not x, y", "lambda a: 1, b",
+        "a if b else c", "Foo # bar, 1", "x\t, y", "a + 1j", "f'z', w", "Noneé, 1", "Nonｅ, 1", "ｓet()", "é, b", "_a, , b\xa0", "a\nb, c"]
+
+
+def test_parse_list_reads_plain_text_without_python(spark):
+    assert apply(spark, parse_list, BARE) == [lists._items_of(text) for text in BARE]
+    assert apply(spark, lambda c: c.rlike(lists._BARE_TEXT), ["Fluff, 5-LOW,", "word word", "None, 1", "u'x'"]) == [True, True, False, False]
+
+
+ESCAPED = [r"['caf\xe9 5']", r"['a\\', \"b\'c\"]", r"['\u2603', 'x\ty ', '\n']", r"['\d']", r"['\☃']", r"['\x4']", r"['\101']", "['é\\té', '☃\\'']"]
+
+
+def test_parse_list_reads_simple_escapes_without_a_parser(monkeypatch):
+    want = [lists._items_of(text) for text in ESCAPED]
+    monkeypatch.setattr(lists, "_ESCAPED_LIST", re.compile("(?!)"))
+    assert [lists._items_of(text) for text in ESCAPED] == want
+    monkeypatch.undo()
+    monkeypatch.setattr(lists.ast, "literal_eval", None)
+    assert lists._items_of(ESCAPED[0]) == ["café 5"]
+
+
 def test_parse_long_list_does_not_overflow(spark):
     items = [f"tag {i}" for i in range(20_000)]
     assert apply(spark, parse_list, [repr(items)]) == [items]
@@ -148,3 +171,12 @@ def test_final_score(spark):
     score = S.final_score(F.lit(0.5), F.lit(1.0), F.lit(0.5), S.popularity_score(F.lit(0.4), F.lit(0.2)))
     value, text = spark.range(1).select(score, X.format_score(score)).first()
     assert value == pytest.approx(0.565) and text == "0.5650"
+
+
+def test_each_text_is_cleaned_once(spark):
+    """However many outputs depend on a text, the plan names its cleaning once."""
+    raw = spark.createDataFrame([(" Updated:\t", "1,x", "5", "x/works/3")], "status string, words string, hits string, url string")
+    cleaned = clean_works(raw)
+    assert cleaned.first().asDict() == {"status": "on_going", "words": None, "hits": 5, "url": "x/works/3", "fault": "bad_int:words", "date_lost": False}
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(status") == 1 and plan.count("replace(words") == 1
