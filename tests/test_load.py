@@ -294,3 +294,19 @@ def test_a_catalogue_without_summaries_gets_them(spark, tmp_path):
     publish(spark, root, snapshot, {k: v for k, v in snapshot["parts"].items() if k in ("core", "dictionary", "pairs")})
     load_works(spark, write_csv(tmp_path / "b.csv", SECOND), root)
     assert_summaries(spark, root)
+
+
+def test_batches_of_one_crawl_parse_its_csv_once(spark, tmp_path, monkeypatch):
+    from catalogweave.suite import loading
+
+    lines = ["title,url", *(f"t{k},https://host/works/{k}" for k in range(30))]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.csv").write_text("\n".join(lines) + "\n")
+    seen = []
+    monkeypatch.setattr(loading, "_raw_files", lambda spark, sf_dir: str(tmp_path / "raw"))
+    monkeypatch.setattr(loading, "load_frame", lambda spark, batch, root: seen.append(batch))
+    loading._loaded_in_three(spark, "")
+    plans = [batch._jdf.queryExecution().executedPlan().toString() for batch in seen]
+    assert len(plans) == 3 and not any("FileScan csv" in plan for plan in plans)
+    first, second, third = (sorted(r["title"] for r in batch.collect()) for batch in seen)
+    assert not set(first) & set(second) and not set(second) & set(third) and len(second) + len(third) == 30
