@@ -1,5 +1,7 @@
 """Scalar cleaning rules as column expressions (no Python per row)."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -8,7 +10,6 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # The same set written for speed: one table look-up for Latin-1, other spaces are tried from U+1680 on only.
 _WIDE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
-_ODD_SPACE = rf"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0{_WIDE}]"
 _ANY_SPACE = rf"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0{_WIDE}]"
 SPACES = "".join(
     chr(c)
@@ -43,8 +44,13 @@ def blank_to_null(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Collapse white space to single spaces and trim; empty text becomes NULL."""
+    return blank_to_null(single_spaced(text))
+
+
+def single_spaced(text: Column) -> Column:
+    """``clean_text`` that leaves empty text empty."""
     # A single plain space stays as it is, so only longer runs and odd spaces are replaced.
-    return blank_to_null(F.trim(F.regexp_replace(text, rf"{_ANY_SPACE}{{2,}}+|{_ODD_SPACE}", " ")))
+    return F.trim(F.regexp_replace(text, rf"{_ANY_SPACE}(?:{_ANY_SPACE}++|(?<!\x20))", " "))
 
 
 def clean_int(text: Column) -> Column:
@@ -54,7 +60,12 @@ def clean_int(text: Column) -> Column:
 
 def digits_of(text: Column) -> Column:
     """What integer text holds, without thousands separators; NULL when empty."""
-    return blank_to_null(trim_spaces(F.replace(text, F.lit(","), F.lit(""))))
+    return blank_to_null(bare_digits(text))
+
+
+def bare_digits(text: Column) -> Column:
+    """``digits_of`` that leaves empty text empty."""
+    return trim_spaces(F.replace(text, F.lit(","), F.lit("")))
 
 
 def is_bad_int(text: Column) -> Column:
@@ -79,7 +90,24 @@ def clean_date(text: Column, formats=DATE_FORMATS) -> Column:
 
 def date_of(trimmed: Column, formats=DATE_FORMATS) -> Column:
     """``clean_date`` of a text without white space around it."""
-    return F.coalesce(*[F.try_to_date(trimmed, f) for f in formats])
+    return F.coalesce(*[F.when(_may_fit(trimmed, f), F.try_to_date(trimmed, f)) for f in formats])
+
+
+def _may_fit(text: Column, layout: str) -> Column:
+    """False only where the layout cannot read the text: a mark of the layout, or any digit, is absent.
+
+    Finding that out is far cheaper than a failed parse.
+    """
+    bare = re.sub("'[^']*'", "", layout)
+    fits = F.lit(True)
+    if re.search("[][{}#']", bare):  # optional parts and other syntax: nothing is known
+        return fits
+    marks = set(re.sub("[A-Za-z]", "", bare))
+    for mark in sorted(marks):
+        fits &= F.contains(text, F.lit(mark))
+    if not marks and re.fullmatch("yyyyMMdd", layout):
+        return fits & text.rlike("^[+-]?[0-9]{8,}$")
+    return fits & text.rlike("[0-9]") if re.search("[yd]", bare) else fits
 
 
 def is_bad_date(text: Column, formats=DATE_FORMATS) -> Column:

@@ -16,6 +16,7 @@ from ..functions.text import na_to_null
 from ..operators.clean import BAD_ROW
 from ..operators.joins import lookup_join
 from ..schemas import INVALID_SCHEMA, NA_TOKENS, RAW_COLUMNS
+from ..session import broadcast_limit, staged
 from .csv_records import cells_of, csv_records, largest_file, record_headers
 
 # Where a row came from. Captured at the scan, before anything is shuffled;
@@ -118,7 +119,7 @@ def csv_headers(spark: SparkSession, path: str | list[str]) -> list[tuple[list[s
     """
     first = first_lines(spark.read.option("recursiveFileLookup", "true").text(path))
     files = {}
-    for row in first.orderBy("file").toLocalIterator():
+    for row in sorted(first.collect(), key=lambda row: row["file"]):
         files.setdefault(row["header"], []).append(row["file"])
     return [(cells_of(header), own) for header, own in files.items()] or [(list(RAW_COLUMNS), path)]
 
@@ -192,8 +193,8 @@ def number_rows(works: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Add ``row_number``, counted from 0 inside each source file, to ``wanted`` rows (or all).
 
     Only one (first position, row count) record per scan block is needed to
-    turn scan positions into row numbers, so no row is sorted. The records are few:
-    they are broadcast when that is known to be safe, or met with salted keys.
+    turn scan positions into row numbers, so no row is sorted. The records are few: they are
+    staged, and broadcast when their size is found to allow it, or met with salted keys.
     """
     blocks = works.groupBy("src_file", "src_block").agg(
         F.min("src_pos").alias("first_pos"), F.count("*").alias("n")
@@ -206,10 +207,12 @@ def number_rows(works: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         "src_block",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_pos")).alias("shift"),
     )
-    rows = works if wanted is None else wanted
-    return lookup_join(rows, starts, ["src_file", "src_block"]).withColumn(
-        "row_number", F.col("src_pos") + F.col("shift")
-    )
+    rows, keys = works if wanted is None else wanted, ["src_file", "src_block"]
+    starts = staged(starts, "scan-blocks")
+    sized = starts.agg(F.sum(F.octet_length("src_file") + 32)).first()[0] or 0
+    small = sized <= broadcast_limit(works.sparkSession)
+    met = rows.join(F.broadcast(starts), keys) if small else lookup_join(rows, starts, keys)
+    return met.withColumn("row_number", F.col("src_pos") + F.col("shift"))
 
 
 def write_invalid(invalid: DataFrame, path: str, file_format: str = "csv") -> None:

@@ -67,8 +67,8 @@ def orders_with_customers(spark, sf_dir):
     return spread(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")))
 
 
-def raw_works(spark, sf_dir):
-    """Raw text records with every kind of flaw, keyed by ``o_orderkey``."""
+def raw_works(spark, sf_dir, sort=False):
+    """Raw text records with every kind of flaw, keyed by ``o_orderkey``; on request sorted by it, over all partitions."""
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     price = F.floor("o_totalprice")
 
@@ -117,7 +117,10 @@ def raw_works(spark, sf_dir):
             join("https://host/works/", customer.cast("string"), "?view_adult=true")
         ),
     }
-    return orders_with_customers(spark, sf_dir).select(
+    given = orders_with_customers(spark, sf_dir)
+    if sort:  # before the texts are made, so that the shuffle moves few bytes and its sampling makes none
+        given = given.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    return given.select(
         "o_orderkey", *[value.alias(column) for column, value in fields.items()]
     )
 

@@ -11,10 +11,13 @@ from ..streaming.ingest import start_ingest
 from .inputs import CLEAN_WORKS_SQL, raw_works
 
 
+ROWS_PER_FILE = 200_000  # about 60 MB: a file is one task for its readers
+
+
 def _raw_files(spark, sf_dir):
     path = scratch_path(spark, "raw")
-    ordered = raw_works(spark, sf_dir).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
-    append_raw_works(ordered.select(*RAW_COLUMNS), path, "csv")
+    ordered = raw_works(spark, sf_dir, sort=True)
+    append_raw_works(ordered.select(*RAW_COLUMNS), path, "csv", rows_per_file=ROWS_PER_FILE)
     return path
 
 
