@@ -141,3 +141,52 @@ def test_results_count_against_the_broadcast(spark, store, monkeypatch):
     monkeypatch.setattr(retrieval, "_block_join", lambda *given: used.append("grid") or spark.createDataFrame([], retrieval.CANDIDATE_SCHEMA))
     retrieve(store, store.withColumnRenamed("fic_id", "query_id"), 500, broadcast_limit=1 << 20)
     assert used == ["grid"]
+
+
+def test_useless_bounds_are_not_taken(spark):
+    """At a low threshold half of the coordinates rule nothing out: no pair is bounded, and none is lost."""
+    random = np.random.default_rng(8)
+    data = [(k, [float(x) for x in row]) for k, row in enumerate(random.standard_normal((700, 64)))]
+    loose = spark.createDataFrame(data, "fic_id long, embedding array<float>")
+    assert tuple(pairwise_work(loose, 0.3).first())[0] == 0
+    want = pairs_of(pairwise_similarity(loose, 0.3))
+    assert want and pairs_of(pairwise_pruned(loose, 0.3)) == want
+
+
+def test_cells_stay_partitions_of_their_own(store):
+    """Cells are small but their work is not: adaptive execution must not merge them into few tasks."""
+    found = pairwise_pruned(store, 0.05, 32 * 4 * 60)
+    assert found.rdd.getNumPartitions() == 11 * 12 // 2
+
+
+def test_matches_leave_a_task_in_batches():
+    """A batch is handed over before later slices are compared, however many matches a cell has."""
+    taken = []
+
+    def slices():
+        for k in range(40):
+            taken.append(k)
+            yield np.full(10_000, k), np.full(10_000, k + 1), np.ones(10_000), 10_000, 10_000
+
+    batches = pruned._emit_pairs(slices())
+    first = next(batches)
+    assert first.num_rows < 100_000 and len(taken) < 10
+    assert first.num_rows + sum(b.num_rows for b in batches) == 400_000
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 1.0])
+@pytest.mark.parametrize("levels", [[0], [0, 8, 16, 32]])
+def test_every_way_of_multiplying_finds_the_same(monkeypatch, share, levels):
+    """Gathered, screened in single precision or multiplied whole; pairs at the threshold to the last digit stay."""
+    monkeypatch.setattr(pruned, "_SHARE", share)
+    random = np.random.default_rng(9)
+    rows = random.standard_normal((300, 64))
+    rows[:40] = rows[40:80] + 0.05 * random.standard_normal((40, 64))
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    side = pruned._Side(np.arange(300), units, np.eye(64), levels)
+    sims = np.round(side.units @ side.units.T, retrieval.RANK_DECIMALS)
+    for threshold in (0.3, 0.93, float(np.sort(sims.ravel())[-900])):
+        found = pruned._matches(side, slice(0, 300), side, slice(0, 300), levels, threshold)
+        want = np.nonzero(sims >= threshold)
+        assert np.array_equal(found[0], want[0]) and np.array_equal(found[1], want[1])
+        assert np.abs(found[2] - sims[want]).max() < 1e-11
