@@ -7,7 +7,9 @@ Bounds come first, products last:
   similarity.
 * Parts. Vectors are ranked by their first coordinate and cut into parts of equal size, ties
   included. Two vectors further apart in any coordinate than the chord of the threshold cannot
-  match, so parts whose intervals are further apart never meet, nor do slices of them.
+  match, so parts whose intervals are further apart never meet, nor do slices of them. Where
+  most parts would meet, ranks are dealt to the parts in turn instead: copies of a vector, and with
+  them the matches, are then spread over all cells, and slices of a part are kept apart as before.
 * Leading coordinates. What two vectors have in common is at most the product of their leading
   coordinates plus the product of the lengths of the rest (Cauchy-Schwarz). Pairs whose bound
   stays below the threshold are dropped after an eighth, a quarter or half of the coordinates.
@@ -44,6 +46,7 @@ _EMITTED = 1 << 16  # matches from which a batch is handed over
 _SHARE = 0.05  # share of a slice's pairs from which more coordinates, or one product of all, cost less than gathering
 _CELL_PAIRS = 1 << 20  # fewer pairs are not worth a task
 _CELLS_PER_CORE = 8
+_MEETING = 0.75  # share of the cells from which keeping neighbours together in a part saves too little
 
 _PAIRS = "left_id bigint, right_id bigint, sim double"
 _WORK = "bounded bigint, products bigint"
@@ -223,7 +226,7 @@ def _compared(store: DataFrame, min_similarity: float, part_bytes: int, emit, sc
     parts = grid_parts(size["n"], size["dim"], _cells(store, size["n"]), part_bytes)
     per = ceil(size["n"] / parts)
     ranked = with_position(placed, ["place", "fic_id"])
-    dealt = ranked.select("fic_id", "embedding", "place", F.expr(f"cast(position div {per} as int)").alias("part"))
+    dealt = ranked.withColumn("part", F.expr(f"cast(position div {per} as int)"))
     # One interval per part, about the square root of twice the tasks.
     spans = dealt.groupBy("part").agg(F.min("place").alias("low"), F.max("place").alias("high")).orderBy("part").collect()
     chord = sqrt(max(0.0, 2 - 2 * min_similarity)) + SLACK
@@ -233,9 +236,12 @@ def _compared(store: DataFrame, min_similarity: float, part_bytes: int, emit, sc
         for b in spans
         if a["part"] <= b["part"] and a["low"] <= b["high"] + chord and b["low"] <= a["high"] + chord
     ]
+    everything = [(low, high) for high in range(len(spans)) for low in range(high + 1)]
+    if len(cells) > _MEETING * len(everything):
+        cells, dealt = everything, ranked.withColumn("part", F.expr(f"cast(position % {len(spans)} as int)"))
     meets = [(part, cell, low, high) for cell, (low, high) in enumerate(cells) for part in {low, high}]
     partners = spark.createDataFrame(meets, "part int, cell int, low int, high int")
-    met = dealt.drop("place").join(F.broadcast(partners), "part").select("cell", "low", "high", "part", "fic_id", "embedding")
+    met = dealt.join(F.broadcast(partners), "part").select("cell", "low", "high", "part", "fic_id", "embedding")
     dealt_out = met.repartitionById(len(cells), "cell")
     return dealt_out.groupBy("cell", "low", "high").applyInArrow(_compare(axes, levels, min_similarity, emit), schema)
 

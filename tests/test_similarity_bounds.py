@@ -190,3 +190,15 @@ def test_every_way_of_multiplying_finds_the_same(monkeypatch, share, levels):
         want = np.nonzero(sims >= threshold)
         assert np.array_equal(found[0], want[0]) and np.array_equal(found[1], want[1])
         assert np.abs(found[2] - sims[want]).max() < 1e-11
+
+
+def test_matches_of_a_crowd_are_spread_over_the_cells(spark):
+    """A third of the vectors are copies of one: no task returns all pairs of them."""
+    random = np.random.default_rng(10)
+    rows = list(random.standard_normal((400, 64)))
+    rows[:130] = [rows[0]] * 130
+    data = [(k, [float(x) for x in row]) for k, row in enumerate(rows)]
+    crowd = spark.createDataFrame(data, "fic_id long, embedding array<float>")
+    found = pairwise_pruned(crowd, 0.3, 64 * 4 * 40)
+    counts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) >= 130 * 129 // 2 and max(counts) < 0.1 * sum(counts)
