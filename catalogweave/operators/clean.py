@@ -69,17 +69,21 @@ def _tidy(frame: DataFrame, trimmed: list[str], integers: list[str]) -> DataFram
 
     Columns that are treated alike go through one expression over an array of them: written out per column, with the
     shapes of the lists after them, they made a generated method of 8,317 bytes, and the JVM compiles none above 8,000.
+    One or two columns are written out.
     """
     texts = [c for c in TEXT_COLUMNS if c in frame.columns]
     lists = [c for c in TAG_KINDS if c in frame.columns and c not in trimmed]
     alike = {"texts:": (texts, X.single_spaced), "trims:": (trimmed, X.trim_spaces), "digits:": (integers, X.bare_digits)}
-    alike = {name: (columns, rule) for name, (columns, rule) in alike.items() if columns}
+    few = {c: rule(F.col(c).cast("string")) for columns, rule in alike.values() if len(columns) < 3 for c in columns}
+    alike = {name: (columns, rule) for name, (columns, rule) in alike.items() if len(columns) > 2}
     others = [c for c in frame.columns if c not in (*texts, *trimmed, *integers)]
     tidied = frame.select(
         *[(_trimmed(F.col(c)) if c in lists else F.col(f"`{c}`")).alias(c) for c in others],
+        *[value.alias(c) for c, value in few.items()],
         *[F.transform(F.array(*[F.col(c).cast("string") for c in columns]), rule).alias(name) for name, (columns, rule) in alike.items()],
     )
     values = {c: F.get(name, F.lit(at)) for name, (columns, _) in alike.items() for at, c in enumerate(columns)}
+    values |= {c: F.col(c) for c in few}
     values |= {c: X.blank_to_null(values[c]) for c in (*texts, *integers)}
     return tidied.select(
         *[values.get(c, F.col(f"`{c}`")).alias(c) for c in frame.columns if c not in integers],
